@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from .plans.oracles import ORACLES
+from .plans.registry import QUERIES, flagship
+
+__all__ = ["flagship", "oracle_sql", "queries"]
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)

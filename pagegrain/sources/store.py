@@ -1,0 +1,74 @@
+"""The scores table as Parquet snapshots: each change writes a new one and then names it current."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..operators import library as L
+
+
+class ScoreStore:
+    """Snapshots ``v=<n>`` in a folder that all executors see; the highest complete one counts.
+
+    A snapshot is complete when Spark's success marker is there, so readers
+    never see half a write and a failed write changes nothing.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        jvm = spark.sparkContext._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def version(self) -> int:
+        """The newest complete snapshot, 0 if there is none."""
+        if not self._fs.exists(self._path(self.folder)):
+            return 0
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.folder))]
+        done = [int(n[2:]) for n in names if n.startswith("v=") and self._fs.exists(self._path(f"{self.folder}/{n}/_SUCCESS"))]
+        return max(done, default=0)
+
+    def read(self) -> DataFrame:
+        version = self.version()
+        if not version:
+            return self.spark.createDataFrame([], L.SCHEMA)
+        return self.spark.read.schema(L.SCHEMA).parquet(f"{self.folder}/v={version}")
+
+    def write(self, scores: DataFrame) -> int:
+        version = self.version() + 1
+        scores.select(*L.SCHEMA.names).write.mode("overwrite").parquet(f"{self.folder}/v={version}")
+        return version
+
+    def insert(self, rows: DataFrame) -> int:
+        """Append; id 0 or null gets the next ids in order of title and path; a known id raises."""
+        now = self.read()
+        fresh = (F.col("id") == 0) | F.col("id").isNull()
+        given = rows.filter(~F.coalesce(fresh, F.lit(True)))
+        clash = given.join(now.select("id"), "id", "left_semi").unionByName(given.groupBy("id").count().filter("count > 1").drop("count"), True)
+        if not clash.isEmpty():
+            raise ValueError("a score with this id exists")
+        top = now.select("id").unionByName(given.select("id")).agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+        order = Window.orderBy("title", "original_file_path")
+        numbered = rows.filter(F.coalesce(fresh, F.lit(True))).crossJoin(F.broadcast(top))
+        numbered = numbered.withColumn("id", F.col("top") + F.row_number().over(order)).drop("top")
+        return self.write(now.unionByName(numbered.select(*now.columns)).unionByName(given.select(*now.columns)))
+
+    def update(self, rows: DataFrame) -> int:
+        return self.write(L.replace_rows(self.read(), rows))
+
+    def delete(self, score_id: int) -> int:
+        """Drops the row, then its files as far as they are there."""
+        now = self.read()
+        gone = L.by_id(now, score_id).select("original_file_path", "music_xml_path").collect()
+        version = self.write(now.filter(F.col("id") != score_id))
+        for path in (p for row in gone for p in row if p):
+            try:
+                self._fs.delete(self._path(path), False)
+            except Exception:  # noqa: BLE001  a file that cannot go must not undo the change
+                pass
+        return version
+
+    def change(self, plan) -> int:
+        """Any of the single-column changes: ``store.change(lambda s: set_last_opened(s, 3, now))``."""
+        return self.write(plan(self.read()))
