@@ -61,7 +61,7 @@ hit AS (SELECT series_id, staff, centre, count(*) AS n, min(x) AS x_min, max(x)
 lines AS (SELECT f.series_id, f.staff, coalesce(n, 1) AS n, coalesce(x_min, 0) AS x_min, coalesce(x_max, 0) AS x_max, coalesce(x_centre, 0) AS x_centre,
     coalesce(y_min, f.i) AS y_min, coalesce(y_max, f.i) AS y_max, coalesce(y_centre, f.i) AS y_centre, coalesce(slope, 0) AS slope
     FROM five f LEFT JOIN hit h ON h.series_id = f.series_id AND h.staff = f.staff AND h.centre = f.i)"""
-RASTER = """px AS (SELECT DISTINCT event_type AS page_id, user_id % 150 AS y, CAST((epoch(ts) - 1704067200) // 3600 AS BIGINT) % 720 AS x FROM events),
+RASTER = """px AS (SELECT DISTINCT event_type AS page_id, user_id % 150 AS y, CAST(floor((epoch(ts) - 1704067200) / 3600) AS BIGINT) % 720 AS x FROM events),
 page AS (SELECT DISTINCT event_type AS page_id FROM events),
 grid AS (SELECT page_id, y, x, coalesce(hit, 0) AS "on" FROM (SELECT page_id, y, x FROM page, range(150) a(y), range(720) b(x)) LEFT JOIN (SELECT *, 1 AS hit FROM px) USING (page_id, y, x))"""
 
