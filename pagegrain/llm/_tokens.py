@@ -12,7 +12,7 @@ import re
 import numpy as np
 
 #: Distinct pieces that a task keeps; then it starts anew, so memory stays bounded.
-KEEP = 600_000
+KEEP = 1_000_000
 #: Pieces that one library call encodes.
 GROUP = 2_000
 #: White space other than space and line feed, and control characters that libraries class differently.
@@ -71,7 +71,8 @@ class ByteLevelIds:
         missing: set[str] = set()
         if len(self.known) > KEEP:
             self.known.clear()
-        get = self.known.get
+        if len(self.firsts) > KEEP // 8:
+            self.firsts.clear()
         for i, text in enumerate(texts):
             if not text:
                 continue
@@ -80,17 +81,12 @@ class ByteLevelIds:
                 continue
             pieces = text.replace("\n", " \n").split(" ")
             first = pieces.pop(0)
-            values = list(map(get, pieces))
-            missing.update(p for p, v in zip(pieces, values) if v is None)
             if first not in self.firsts:
-                if len(self.firsts) > KEEP // 8:
-                    self.firsts.clear()
                 self.firsts[first] = self.whole(first)
-            cut[i] = pieces, values, self.firsts[first]
-        if missing:
-            self.learn(sorted(missing))
-        for i, (pieces, values, first) in cut.items():
-            if None in values:
-                values = [self.known[p] if v is None else v for p, v in zip(pieces, values)]
-            out[i] = first + b"".join(values)
+            missing.update(pieces)
+            cut[i] = self.firsts[first], pieces
+        self.learn(sorted(missing.difference(self.known)))
+        get = self.known.__getitem__
+        for i, (first, pieces) in cut.items():
+            out[i] = first + b"".join(map(get, pieces))
         return out
