@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalars as S
 
@@ -41,7 +42,7 @@ def free_names(names: DataFrame, taken: DataFrame) -> DataFrame:
     return chosen.select("file_id", "name", file.alias("file"))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def page_count(contents: pd.Series) -> pd.Series:
     """Page objects named in a PDF's plain text; 1 where none can be seen, as for a file that cannot be read."""
     import re
