@@ -97,7 +97,7 @@ def template_tree(
     of its pages, or if its rate of bad pages lies within ``z`` standard
     errors of its siblings' common rate (always, under ``labelled_least``
     labels).  purity = (good + weight * overall good rate) / (labelled +
-    weight); a template under ``purity_least`` is rejected.
+    weight); a template with labels whose purity is under ``purity_least`` is rejected.
     """
     tree = urls.groupBy("host", "shape").agg(
         F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")
@@ -113,8 +113,9 @@ def template_tree(
         (
             (F.col("labelled") - F.col("bad") + weight * F.coalesce("good_rate", F.lit(1.0))) / (F.col("labelled") + F.lit(weight))
         ).alias("purity"),
+        "labelled",
     )
-    whole = whole.withColumn("rejected", F.round("purity", 9) < purity_least)
+    whole = whole.withColumn("rejected", (F.col("labelled") > 0) & (F.round("purity", 9) < purity_least)).drop("labelled")
     return tree.select("host", "shape", "template").join(whole, ["host", "template"])
 
 
