@@ -19,6 +19,8 @@ from ._tokens import ByteLevelIds
 
 #: Remainders packed together; each block leaves one window that is not nearly full.
 BLOCK = 4096
+#: Sequence ids of full windows start here; those of blocks are block << 32 + window.
+FULL = 1 << 62
 
 
 def fill(counts: dict[int, int], capacity: int) -> list[int]:
@@ -113,28 +115,27 @@ def pack(
     Pieces of one sequence_id lie gapless from offset 0 and hold ``capacity``
     ids at most; ``ids`` are little-endian unsigned 32-bit.  Remainders are
     dealt into blocks of about ``block`` by a hash of id and row, so a hot id
-    or many equal rows spread; a sequence never spans blocks.  Null text is the
-    end id alone; null and repeated ids are rows like others; an empty table
+    or many equal rows spread; a sequence never spans blocks.  Full windows are
+    sequences of their own and join no block, so a very long document makes no
+    large group.  Null text is the end id alone; null and repeated ids are rows like others; an empty table
     gives no rows; other columns are ignored.
     """
     cut = written(pieces(df, vocabulary_path, capacity, end_id, id_col, text_col, with_ids), "pieces")
-    blocks = max(1, -(-cut.filter(F.col("length") < capacity).count() // block))
-    dealt = cut.withColumn("block", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(blocks)))
+    row = F.monotonically_increasing_id()
+    full = cut.filter(F.col("length") == capacity).withColumns({"sequence_id": F.lit(FULL) + row, "offset": F.lit(0).cast("long")})
+    short = cut.filter(F.col("length") < capacity)
+    blocks = max(1, -(-short.count() // block))
+    dealt = short.withColumn("block", F.pmod(F.xxhash64("doc_id", row), F.lit(blocks)))
 
     def one(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
-        lengths = table["length"].to_numpy()
-        window, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-        short = np.flatnonzero(lengths < capacity)
-        window[short], offset[short] = pack_block(lengths[short], capacity)
-        full = np.flatnonzero(lengths == capacity)
-        window[full] = np.arange(len(full)) + (int(window[short].max()) + 1 if len(short) else 0)
+        window, offset = pack_block(table["length"].to_numpy(), capacity)
         sequence = (table["block"].to_numpy() << 32) + window
         at = table.schema.get_field_index("block")
         return table.remove_column(at).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     schema = ", ".join(f"`{n}` {t}" for n, t in cut.dtypes) + ", sequence_id long, offset long"
-    return dealt.groupBy("block").applyInArrow(one, schema)
+    return dealt.groupBy("block").applyInArrow(one, schema).unionByName(full)
 
 
 def padding(packed: DataFrame, capacity: int = 1024) -> DataFrame:
