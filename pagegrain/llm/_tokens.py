@@ -11,7 +11,7 @@ import re
 
 import numpy as np
 
-#: Distinct pieces that a task keeps; then it starts anew, so memory stays bounded.
+#: Distinct pieces that a Python worker keeps from task to task; then it starts anew, so memory stays bounded.
 KEEP = 1_000_000
 #: Pieces that one library call encodes.
 GROUP = 2_000
@@ -32,6 +32,14 @@ def vocabulary(path: str):
     return _loaded[path]
 
 
+def byte_level_ids(path: str) -> ByteLevelIds:
+    """The encoder of a file, once for a process, so a worker's later tasks find the pieces of earlier ones."""
+    key = f"ids of {path}"
+    if key not in _loaded:
+        _loaded[key] = ByteLevelIds(path)
+    return _loaded[key]
+
+
 class ByteLevelIds:
     """Ids of whole texts, as little-endian unsigned 32-bit bytes, for a byte-level BPE vocabulary.
 

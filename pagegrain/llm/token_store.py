@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._text import id_text, shared_folder, slices
-from ._tokens import ByteLevelIds
+from ._tokens import byte_level_ids
 
 MAGIC = b"DAC1"
 SCHEMA = "shard long, segment long, doc_ids array<long>, stops array<long>, codes binary"
@@ -122,7 +122,7 @@ def write_store(
     ordered = docs.repartitionByRange(parts, *place).sortWithinPartitions(*place)
 
     def run(batches):
-        encode_texts = ByteLevelIds(vocabulary_path)
+        encode_texts = byte_level_ids(vocabulary_path)
         tail = np.array([end_id], "<u4").tobytes()
         segment, ids, held = 0, [], []
 
