@@ -45,7 +45,8 @@ class ByteLevelIds:
 
     Cutting before a space or line feed is safe there: a token holds white
     space only at its start or is all white space.  Texts with runs of three or
-    unusual white space go to the library whole.
+    unusual white space, or with the string of an added token, before which
+    white space splits as at the end, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -54,6 +55,7 @@ class ByteLevelIds:
         self.lengths = np.array([len(self.library.id_to_token(i) or "") for i in range(size)], np.int64)
         self.known: dict[str, bytes] = {}
         self.firsts: dict[str, bytes] = {}
+        self.added = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -84,7 +86,7 @@ class ByteLevelIds:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if HARD.search(text):
+            if HARD.search(text) or any(special in text for special in self.added):
                 out[i] = self.whole(text)
                 continue
             pieces = text.replace("\n", " \n").split(" ")

@@ -13,7 +13,7 @@ from pagegrain.llm._tokens import ByteLevelIds  # noqa: E402
 BYTE, WORD = public.path("byte_bpe_50k.json"), public.path("word_bpe_49k.json")
 ODD_TEXTS = [
     "", " ", "\n", "a", " a", "a ", "a  b", "a   b", "a \n b", "a\n\nb", "a\n\n\nb", "a \n", "a\n\n", "  a", "   a",
-    "a\tb \t c", "a  b   c", "it's 'the' we'll 's", "<|endoftext|>", "x<|endoftext|> y <|startoftext|>z",
+    "a\tb \t c", "a  b   c", "it's 'the' we'll 's", "<|endoftext|>", "a\n\n<|endoftext|>b", "a \n<|endoftext|> b", "x<|endoftext|> y <|startoftext|>z",
     "naïve Ünïcode été 12345 ²³½ Ⅷ 漢字 العربية 🎉🎉", "é ÄB ̈x", "a\x1c b\x85c", "ΑΣ Σ", "​ x​\n y",
     "word " * 3000, "z" * 5000, "line one\nline two \nline  three",
 ]
