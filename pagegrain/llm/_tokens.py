@@ -19,9 +19,19 @@ GROUP = 2_000
 ODD = "\t\x0b-\x0d\x1c-\x1f\x85\xa0 ᠎ -​    　﻿"
 #: Runs of white space whose split depends on more than one cut.
 HARD = re.compile(f"[ \n]{{3}}|[ \n]{{2}}\\Z|[{ODD}][ \n]|[ \n][{ODD}]")
+ODD_ONE = re.compile(f"[{ODD}]")
+RUNS = tuple(a + b + c for a in " \n" for b in " \n" for c in " \n")
+PAIRS = tuple(a + b for a in " \n" for b in " \n")
 _loaded: dict[str, object] = {}
 
 
+def is_hard(text: str) -> bool:
+    """Whether HARD is found; plain searches tell it for a text without odd white space."""
+    if ODD_ONE.search(text):
+        return HARD.search(text) is not None
+    return text.endswith(PAIRS) or any(run in text for run in RUNS)
+
+
 def vocabulary(path: str):
     """The library's object for a file, once for a process; its own threads stay off."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -83,20 +93,26 @@ class ByteLevelIds:
             self.known.clear()
         if len(self.firsts) > KEEP // 8:
             self.firsts.clear()
+        get = self.known.get
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if HARD.search(text) or any(special in text for special in self.added):
+            if is_hard(text) or any(special in text for special in self.added):
                 out[i] = self.whole(text)
                 continue
             pieces = text.replace("\n", " \n").split(" ")
-            first = pieces.pop(0)
+            first = pieces[0]
             if first not in self.firsts:
                 self.firsts[first] = self.whole(first)
-            missing.update(pieces)
-            cut[i] = self.firsts[first], pieces
-        self.learn(sorted(missing.difference(self.known)))
-        get = self.known.__getitem__
-        for i, (first, pieces) in cut.items():
-            out[i] = first + b"".join(map(get, pieces))
+            pieces[0] = ""
+            found = list(map(get, pieces))
+            found[0] = self.firsts[first]
+            absent = [(j, pieces[j]) for j, ids in enumerate(found) if ids is None]
+            missing.update([piece for _, piece in absent])
+            cut[i] = found, absent
+        self.learn(sorted(missing))
+        for i, (found, absent) in cut.items():
+            for j, piece in absent:
+                found[j] = self.known[piece]
+            out[i] = b"".join(found)
         return out
