@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._text import id_text, slices, written
-from ._tokens import byte_level_ids
+from ._tokens import ByteLevelIds
 
 #: Remainders packed together; each block leaves one window that is not nearly full.
 BLOCK = 4096
@@ -84,7 +84,7 @@ def pieces(
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
     def run(batches):
-        encode = byte_level_ids(vocabulary_path)
+        encode = ByteLevelIds(vocabulary_path)  # of this task: the worker's later stages need the memory
         tail = np.array([end_id], "<u4").tobytes()
         for batch in slices(batches):
             rows = []
