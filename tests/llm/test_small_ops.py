@@ -34,6 +34,25 @@ def test_quality_equals_brute_force(spark):
     assert quality_rules.quality(frame(spark).limit(0)).count() == 0
 
 
+def test_quality_bands_reject_junk_and_keep_prose(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    judged = quality_rules.quality(spark.read.parquet(f"{sf}/documents.parquet")).filter("NOT base_failed").join(labels, "doc_id").collect()
+    junk, clean = ([r.kept for r in judged if r.quality == q] for q in (0, 1))
+    assert 2 * sum(junk) < len(junk) and sum(clean) > 0.97 * len(clean) > 0
+
+
+def test_quality_limits_follow_their_sample():
+    pack = zstandard.ZstdCompressor(level=3).compress
+    rng = np.random.default_rng(1)
+    texts = [" ".join(map(str, rng.integers(10**6, size=n))) for n in (100, 120, 1500)]
+    bands, chunks = quality_rules.sampled_limits([*texts, None, "too short"], pack)
+    whole = [quality_rules.ratios(t.encode(), pack) for t in texts]
+    assert [b[0] for b in bands] == [512, 8192]
+    assert bands[0][1:] == (round(min(w for w, _ in whole[:2]) - 0.02, 3), round(max(w for w, _ in whole[:2]) + 0.02, 3))
+    assert chunks == (round(min(whole[2][1]) - 0.02, 3), round(max(whole[2][1]) + 0.02, 3))
+
+
 def test_jpeg_gives_payloads_back(spark):
     rows = {str(r.doc_id) + str(r.n_bytes): r for r in jpeg_media.media(frame(spark)).collect()}
     for i, text in enumerate(TEXTS):
