@@ -188,7 +188,8 @@ def _bodies(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
                     rows.append((s["anchor"], s["content"], s["n"], s["hot"], doc, digest, s["first"], body))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)), kinds)], names=names)
 
-    joined = docs.join(listed, ["doc_id", "digest"]).select("doc_id", "text", "digest", "spots")
+    once = docs.dropDuplicates(["doc_id", "digest"])  # rows equal in id and text are one document
+    joined = once.join(listed, ["doc_id", "digest"]).select("doc_id", "text", "digest", "spots")
     schema = "anchor long, content long, n long, hot boolean, doc_id long, digest long, first long, body binary"
     return joined.mapInArrow(run, schema)
 

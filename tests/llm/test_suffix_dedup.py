@@ -49,6 +49,18 @@ def test_hot_anchors_are_counted_by_window(spark):
         check(spark, corpus(3), keep_first, hot=2)
 
 
+def test_rows_equal_in_id_and_text_are_one_document(spark):
+    rows = corpus(6)
+    rows += [(None, rows[4][1])] + [(300, "b" + rows[8][1] + " aé"), (301, rows[9][1])]
+    df = spark.createDataFrame([*rows, *rows[:20], (None, rows[4][1]), *rows[-2:]], "doc_id long, text string")
+    raws, gone = brute(rows, 24, True)
+    want = {str(d) + str(t): (len(g), bytes(b for j, b in enumerate(raw) if j not in g)) for (d, t), raw, g in zip(rows, raws, gone)}
+    for hot in (4096, 2):
+        got = remove_repeats(df, length=24, k=6, keep_first=True, hot=hot).collect()
+        assert len(got) == df.count()
+        assert {(str(r.doc_id), r.n_removed, bytes(r.kept)) for r in got} == {(str(d), *want[str(d) + str(t)]) for d, t in rows}
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert remove_repeats(df).count() == 0
