@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from ._text import written
 
-#: Path segments that are levels of the tree; deeper ones count as variable.
-DEPTH = 4
 ANY = "*"
 
 
@@ -42,14 +40,13 @@ def match_rule(host: Column, path: Column, rules) -> tuple[Column, Column]:
 
 
 def masked(path: Column) -> Column:
-    """The first DEPTH segments as an array; numbers, long hexadecimal and deeper segments are wildcards.
+    """The segments as an array; numbers and long hexadecimal ones are wildcards.
 
     A file extension stays, as in ``*.html``; a trailing slash shows as an empty last segment.
     """
     segments = F.split(F.regexp_replace(path, "^/", ""), "/", -1)
     variable = r"^(?:[0-9]+|[0-9a-fA-F-]{16,})((?:\.[A-Za-z]{1,5})?)$"
-    named = F.transform(segments, lambda s: F.regexp_replace(s, variable, r"*$1"))
-    return F.when(F.size(named) > DEPTH, F.concat(F.slice(named, 1, DEPTH), F.array(F.lit("**")))).otherwise(named)
+    return F.transform(segments, lambda s: F.regexp_replace(s, variable, r"*$1"))
 
 
 def _generalise(tree: DataFrame, at: int, distinct_least: int, distinct_share: float, z: float, labelled_least: int) -> DataFrame:
@@ -92,7 +89,7 @@ def template_tree(
     """host, shape, template, purity, rejected for every distinct (host, shape) of ``urls``.
 
     ``urls`` has host, shape (segments as ``masked`` gives them) and bad (1, 0,
-    or null without a label).  Level by level a segment becomes a wildcard if
+    or null without a label).  Level by level, down to the longest shape's last, a segment becomes a wildcard if
     its parent has at least ``distinct_least`` kinds of it, ``distinct_share``
     of its pages, or if its rate of bad pages lies within ``z`` standard
     errors of its siblings' common rate (always, under ``labelled_least``
@@ -103,8 +100,15 @@ def template_tree(
         F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")
     )
     tree = written(tree.withColumn("template", F.col("shape")), "tree")
-    for at in range(DEPTH):
+    sizes = sorted(r["size"] for r in tree.select(F.size("shape").alias("size")).distinct().collect())
+    done = []
+    for at in range(max(sizes, default=0)):
         tree = written(_generalise(tree, at, distinct_least, distinct_share, z, labelled_least), "tree")
+        if at + 1 in sizes[:-1]:  # shapes that end here are settled; later levels read the longer ones only
+            done.append(tree.filter(F.size("shape") == at + 1))
+            tree = tree.filter(F.size("shape") > at + 1)
+    for part in done:
+        tree = tree.unionByName(part)
     overall = tree.agg((1 - F.sum("bad") / F.sum("labelled")).alias("good_rate"))
     whole = tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     whole = whole.join(F.broadcast(overall)).select(  # one row

@@ -130,3 +130,15 @@ def test_url_rules_and_templates(spark):
     assert [(got[i].host, got[i].path, got[i].rule, got[i].verdict) for i in range(8)] == want
     assert {got[i].verdict for i in range(8, 68)} == {"block"} and {got[i].verdict for i in range(68, 128)} == {"allow"}
     assert url_filter.filter_urls(pages.limit(0), labels, rules).count() == 0
+
+
+def test_url_templates_reach_every_level(spark):
+    urls = [f"http://h.org/a/b/c/d/{kind}/e/{i}.html" for kind, least in (("spam", 0), ("good", 1000)) for i in range(least, least + 60)]
+    urls += ["http://h.org/a/b", "http://h.org/" + "x/" * 11 + "y"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1) for i in range(60)] + [(1000 + i, 0) for i in range(60)], "key long, bad long")
+    got = {r.page_id: r for r in url_filter.filter_urls(pages, labels, ()).collect()}
+    assert len(got) == len(urls) and all(got[i].purity is not None for i in got)
+    assert {(got[i].verdict, got[i].template.split("/")[4]) for i in range(60)} == {("block", "spam")}
+    assert {(got[i].verdict, got[i].template.split("/")[4]) for i in range(60, 120)} == {("allow", "good")}
+    assert got[120].template.count("/") == 1 and got[121].template.count("/") == 11
