@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._text import id_text, slices, written
-from ._tokens import ByteLevelIds
+from ._tokens import BATCH_BYTES, ByteLevelIds, kept, with_end
 
 #: Remainders packed together; each block leaves one window that is not nearly full.
 BLOCK = 4096
@@ -84,18 +84,22 @@ def pieces(
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
     def run(batches):
-        encode = ByteLevelIds(vocabulary_path)  # of this task: the worker's later stages need the memory
-        tail = np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches):
-            rows = []
-            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
-                ids += tail
-                for a in range(0, len(ids), 4 * capacity):
-                    part = ids[a : a + 4 * capacity]
-                    rows.append((doc, a // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4) + ((part,) if with_ids else ()))
-            kinds = [pa.int64()] * 5 + [pa.binary()] * with_ids
+        encode = kept(ByteLevelIds, vocabulary_path)
+        for batch in slices(batches, limit=BATCH_BYTES):
+            ids, bounds = with_end(*encode(batch.column(1)), end_id)
+            totals = np.diff(bounds)
+            n = -(-totals // capacity)
+            row = np.repeat(np.arange(len(totals)), n)
+            start = (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * capacity
+            length = np.minimum(totals[row] - start, capacity)
+            at = bounds[row] + start
+            crc = [zlib.crc32(ids[a:b]) for a, b in zip(at.tolist(), (at + length).tolist())]
+            cols = [batch.column(0).take(pa.array(row)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(totals[row])]
+            if with_ids:
+                edges = np.concatenate([at, bounds[-1:]]).astype(np.int32) * 4
+                cols.append(pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(edges), pa.py_buffer(ids)]))
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names[: len(kinds)])
+            yield pa.RecordBatch.from_arrays(cols, names=names[: len(cols)])
 
     return id_text(df, id_col, text_col).mapInArrow(run, schema + ", ids binary" * with_ids)
 

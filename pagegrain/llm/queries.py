@@ -97,9 +97,8 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), with_ids=False).select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
-    )
+    packed = packing.pack(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Token counts of documents without materialising ids.
 
-Each task cuts its texts into pre-tokens, asks the library for the number of
-tokens once for each distinct one, and joins these counts with the pre-token
-frequencies of its documents; a document's count is the sum.  Distinct
-pre-tokens, counts and frequencies stay in the task: there is no shuffle.
+Each document becomes its pre-token frequencies: a pair (pre-token, times) for
+each distinct one.  The library counts the tokens of each distinct pre-token
+once for a worker, the frequencies are joined with these counts, and a
+document's count is the sum of times * tokens.  Pre-tokens, counts and
+frequencies stay in the task: there is no shuffle.
 """
 
 from __future__ import annotations
@@ -14,7 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._text import id_text, slices, view
-from ._tokens import GROUP, KEEP, vocabulary
+from ._tokens import BATCH_BYTES, GROUP, KEEP, Tails, added_tokens, distinct_pieces, kept, vocabulary
+
+
+def frequencies(codes: np.ndarray, first: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, pre-token, times), a row for each pair that occurs, from each place's pre-token and the documents' first places."""
+    document = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    pair, times = np.unique(document * kinds + codes, return_counts=True)
+    return pair // max(kinds, 1), pair % max(kinds, 1), times
 
 
 class PieceCounts:
@@ -26,6 +34,7 @@ class PieceCounts:
 
     def __init__(self, path: str):
         self.library = vocabulary(path)
+        self.tails = Tails(added_tokens(self.library))
         self.known: dict[str, int] = {}
 
     def learn(self, pieces: list[str]) -> None:
@@ -35,19 +44,23 @@ class PieceCounts:
             counts = np.bincount(np.array(told.word_ids, np.int64), minlength=len(group))
             self.known.update(zip(group, counts.tolist()))
 
-    def __call__(self, texts: list[str]) -> np.ndarray:
-        """Token counts of the texts: frequencies of distinct pre-tokens joined with counts, summed."""
+    def __call__(self, texts: pa.Array) -> np.ndarray:
+        """Token counts of the texts (no nulls): frequencies of their distinct pre-tokens joined with counts, summed."""
         if len(self.known) > KEEP:
             self.known.clear()
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        distinct = set().union(*cut)
-        distinct.discard("")
-        missing = sorted(distinct.difference(self.known))
-        if missing:
-            self.learn(missing)
+        codes, pieces, heads, first = distinct_pieces(texts)
+        pieces = [p.removeprefix("\n") for p in pieces] + heads
+        missing = set(pieces).difference(self.known)
+        cut = self.tails.cut(missing)
+        plain = (missing - cut.keys()).union(*cut.values())
+        self.learn(list(plain.difference(self.known)))
         known = self.known
-        known[""] = 0
-        return np.array([sum(map(known.__getitem__, pieces)) for pieces in cut], np.int64)
+        known.update([(p, known[stem] + known[tail]) for p, (stem, tail) in cut.items()])
+        tokens = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+        document, piece, times = frequencies(codes, first, len(pieces))
+        totals = np.zeros(len(texts) + 1, np.int64)
+        np.add.at(totals, document + 1, tokens[piece] * times)
+        return totals[1:]
 
 
 def token_counts(
@@ -62,10 +75,10 @@ def token_counts(
     """
 
     def run(batches):
-        count = PieceCounts(vocabulary_path)
-        for batch in slices(batches):
+        count = kept(PieceCounts, vocabulary_path)
+        for batch in slices(batches, limit=BATCH_BYTES):
             _, offsets = view(batch.column(1))
-            totals = count(batch.column(1).to_pylist())
+            totals = count(batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.diff(offsets)), pa.array(totals)], names=["doc_id", "n_bytes", "n_tokens"]
             )

@@ -13,18 +13,19 @@ import uuid
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._text import id_text, shared_folder, slices
-from ._tokens import byte_level_ids
+from ._tokens import BATCH_BYTES, ByteLevelIds, kept, with_end
 
 MAGIC = b"DAC1"
-SCHEMA = "shard long, segment long, doc_ids array<long>, stops array<long>, codes binary"
+SCHEMA = "shard long, segment long, first_doc long, doc_ids array<long>, stops array<long>, from_before boolean, goes_on boolean, codes binary"
 #: Bits of a bitmap for each entry of its rank directory.
 RANK_BITS = 512
-#: Ids after which a segment ends at the next document.
+#: Ids of a segment.
 SEGMENT_IDS = 1 << 18
 _ones = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
@@ -110,10 +111,14 @@ def write_store(
 ) -> str:
     """Write all documents' ids, each with ``end_id``, in ascending doc_id order; returns the folder.
 
-    Rows of the files: shard (range of doc_id), segment in it, doc_ids, stops
-    (where each document ends in the segment) and codes (the format above).  A
-    document lies in one segment.  Nulls: text empty, doc_id first.  Equal
-    doc_ids lie side by side in order of a hash of their text.
+    Rows of the files: shard (range of doc_id), segment in it, first_doc (number
+    of its first document in the shard), doc_ids and stops (where each document
+    ends in the segment), from_before and goes_on (whether the first one began
+    in the segment before, and the last one goes on in the next) and codes (the
+    format above).  All segments of a shard but the last
+    hold ``SEGMENT_IDS`` ids, so a long document is spread over segments.
+    Nulls: text empty, doc_id first.  Equal doc_ids lie side by side in order
+    of a hash of their text.
     """
     path = path or f"{shared_folder(df.sparkSession)}/pagegrain/store-{uuid.uuid4().hex}"
     docs = id_text(df, id_col, text_col)
@@ -122,37 +127,47 @@ def write_store(
     ordered = docs.repartitionByRange(parts, *place).sortWithinPartitions(*place)
 
     def run(batches):
-        encode_texts = byte_level_ids(vocabulary_path)
-        tail = np.array([end_id], "<u4").tobytes()
-        segment, ids, held = 0, [], []
-
-        def flush():
-            flat = np.frombuffer(b"".join(ids), "<u4")
-            stops = np.cumsum([len(x) // 4 for x in ids])
-            row = [[segment], [held], [stops.tolist()], [encode(flat)]]
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            names = ["segment", "doc_ids", "stops", "codes"]
+        encode_texts = kept(ByteLevelIds, vocabulary_path)
+        segment, first_doc, from_before = 0, 0, False
+        ids, docs, sizes = np.zeros(0, "<u4"), [], np.zeros(0, np.int64)
+
+        def cut(size):
+            """The next ``size`` held ids as a row; what is left stays held."""
+            nonlocal segment, first_doc, from_before, ids, docs, sizes
+            ends = np.cumsum(sizes)
+            n = int(np.searchsorted(ends, size)) + 1  # documents with ids in the segment
+            stops, goes_on = np.minimum(ends[:n], size), bool(ends[n - 1] > size)
+            row = [[segment], [first_doc], [docs[:n]], [stops], [from_before], [goes_on], [encode(ids[:size])]]
+            done = n - goes_on
+            left = sizes[done:].copy()
+            if goes_on:
+                left[0] = ends[n - 1] - size
+            segment, first_doc, from_before = segment + 1, first_doc + done, goes_on
+            ids, docs, sizes = ids[size:], docs[done:], left
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.bool_(), pa.bool_(), pa.binary()]
+            names = ["segment", "first_doc", "doc_ids", "stops", "from_before", "goes_on", "codes"]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], names=names)
 
-        size = 0
-        for batch in slices(batches):
-            for doc, x in zip(batch.column(0).to_pylist(), encode_texts(batch.column(1).to_pylist())):
-                ids.append(x + tail)
-                held.append(doc)
-                size += len(x) // 4 + 1
-                if size >= SEGMENT_IDS:
-                    yield flush()
-                    segment, ids, held, size = segment + 1, [], [], 0
-        if held:
-            yield flush()
-
-    rows = ordered.mapInArrow(run, "segment long, doc_ids array<long>, stops array<long>, codes binary")
+        for batch in slices(batches, limit=BATCH_BYTES):
+            more, bounds = with_end(*encode_texts(batch.column(1)), end_id)
+            ids = np.concatenate([ids, more])
+            docs += batch.column(0).to_pylist()
+            sizes = np.concatenate([sizes, np.diff(bounds)])
+            while len(ids) >= SEGMENT_IDS:
+                yield cut(SEGMENT_IDS)
+        if len(ids):
+            yield cut(len(ids))
+
+    rows = ordered.mapInArrow(run, SCHEMA.removeprefix("shard long, "))
     rows.select(F.spark_partition_id().cast("long").alias("shard"), "*").write.option("compression", "none").parquet(path)
     return path
 
 
 def segment_starts(files: DataFrame) -> DataFrame:
-    """shard, segment, start (ids before the segment): sums within shards, and over one row a shard."""
+    """shard, segment, start (ids before the segment): sums within shards, and over one row a shard.
+
+    The shards are as many as shuffle partitions wrote them, so the one window over all of them stays small.
+    """
     totals = files.select("shard", "segment", F.element_at("stops", -1).alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = totals.groupBy("shard").agg(F.sum("n").alias("n"))
@@ -162,25 +177,61 @@ def segment_starts(files: DataFrame) -> DataFrame:
     return starts.join(shards, "shard").select("shard", "segment", (F.col("shard_start") + F.col("in_shard")).alias("start"))
 
 
+def _times(a: int, b: int) -> int:
+    """Product of two polynomials over GF(2), bits reversed, modulo that of crc32."""
+    out = 0
+    for bit in range(31, -1, -1):
+        if a >> bit & 1:
+            out ^= b
+        b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+    return out
+
+
+def join_crc32(parts) -> int:
+    """crc32 of a text from (bytes, crc32) of its parts in order: each shifts what came before by its length."""
+    out = 0
+    for size, crc in parts:
+        shift, power = 1 << 31, 1 << 23  # 1 and x ** 8
+        while size:
+            if size & 1:
+                shift = _times(shift, power)
+            power, size = _times(power, power), size >> 1
+        out = _times(out, shift) ^ crc
+    return out
+
+
 def read_store(spark, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of every document in the files."""
     files = spark.read.schema(SCHEMA).parquet(path)
+    names = ["shard", "segment", "number", "doc_id", "at", "n", "crc", "whole"]
 
     def run(batches):
         for batch in batches:
-            for shard, segment, docs, stops, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            for shard, segment, number, docs, stops, from_before, goes_on, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 codes, a, rows = Codes(raw), 0, []
-                for doc, b in zip(docs, stops):
-                    rows.append((shard, segment, doc, a, b - a, zlib.crc32(codes.span(a, b).astype("<u4").tobytes())))
+                ids = codes.span(0, len(codes)).astype("<u4", copy=False)
+                for i, (doc, b) in enumerate(zip(docs, stops)):
+                    whole = (i > 0 or not from_before) and not (goes_on and i == len(docs) - 1)
+                    rows.append((shard, segment, number + i, doc, a, b - a, zlib.crc32(ids[a:b]), whole))
                     a = b
-                names = ["shard", "segment", "doc_id", "at", "n_tokens", "ids_crc32"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
+                kinds = [pa.int64()] * 7 + [pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    read = files.mapInArrow(run, "shard long, segment long, doc_id long, at long, n_tokens long, ids_crc32 long")
+    @F.pandas_udf("long")
+    def joined(parts: pd.Series) -> pd.Series:
+        return pd.Series([join_crc32((4 * p["n"], p["crc"]) for p in row) for row in parts], dtype="int64")
+
+    part_of = files.mapInArrow(
+        run, "shard long, segment long, number long, doc_id long, at long, n long, crc long, whole boolean"
+    )
     place = segment_starts(files).withColumnRenamed("start", "before")
-    return read.join(place, ["shard", "segment"]).select(
-        "doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32"
+    read = part_of.join(place, ["shard", "segment"]).withColumn("start", F.col("before") + F.col("at"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("start", "n", "crc"))), lambda p: F.struct(p["n"].alias("n"), p["crc"].alias("crc")))
+    spread = read.filter("NOT whole").groupBy("shard", "number").agg(  # documents that lie in several segments
+        F.max("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("n").alias("n_tokens"), parts.alias("parts")
     )
+    spread = spread.select("doc_id", "start", "n_tokens", joined("parts").alias("ids_crc32"))
+    return read.filter("whole").select("doc_id", "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32")).unionByName(spread)
 
 
 def token_at(spark, path: str, place: int) -> int | None:

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -21,7 +22,7 @@ ODD_TEXTS = [
 
 def random_texts(n, seed):
     rng = random.Random(seed)
-    parts = ["the", "Foo", "bar,", "'s", " ", "  ", "\n", "\n\n", "\t", "12", "é", " ", "!?", "<|endoftext|>", "\r\n", "漢"]
+    parts = ["the", "Foo", "bar,", "é.", "a_.", "x<|", "7%&&", "dogs'.", "don't!", "漢.", ".", "'s", " ", "  ", "\n", "\n\n", "\t", "12", "é", " ", "!?", "<|endoftext|>", "\r\n", "漢"]
     return ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randrange(40))) for _ in range(n)]
 
 
@@ -29,19 +30,28 @@ def library(path):
     return tokenizers.Tokenizer.from_file(path)
 
 
+def ids_of(enc, texts):
+    flat, bounds = enc(pa.array(texts, pa.string()))
+    return [flat[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
+
+
 def test_byte_level_ids_equal_the_library():
     texts = ODD_TEXTS + random_texts(400, 1)
     lib, enc = library(BYTE), ByteLevelIds(BYTE)
     for _ in range(2):  # the second time from what is known
-        for text, ids in zip(texts, enc(texts)):
-            assert np.frombuffer(ids, "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, repr(text)
+        for text, ids in zip(texts, ids_of(enc, texts)):
+            assert ids == lib.encode(text, add_special_tokens=False).ids, repr(text)
+    for text in texts:  # alone, and in a slice of an array
+        assert ids_of(enc, [text]) == [lib.encode(text, add_special_tokens=False).ids], repr(text)
+    flat, bounds = enc(pa.array(texts, pa.string()).slice(3, 5))
+    assert flat[bounds[1] : bounds[2]].tolist() == lib.encode(texts[4], add_special_tokens=False).ids
 
 
 def test_piece_counts_equal_the_library():
     texts = ODD_TEXTS + random_texts(400, 2)
     lib, count = library(WORD), token_counts.PieceCounts(WORD)
     for _ in range(2):
-        assert count(texts).tolist() == [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
+        assert count(pa.array(texts, pa.string())).tolist() == [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
 def test_known_pieces_stay_bounded(monkeypatch):
@@ -50,8 +60,8 @@ def test_known_pieces_stay_bounded(monkeypatch):
     lib, enc, count = library(BYTE), ByteLevelIds(BYTE), token_counts.PieceCounts(WORD)
     for seed in range(5):
         texts = random_texts(20, seed)
-        assert [np.frombuffer(x, "<u4").tolist() for x in enc(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
-        assert count(texts).tolist() == [len(library(WORD).encode(t, add_special_tokens=False).ids) for t in texts]
+        assert ids_of(enc, texts) == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+        assert count(pa.array(texts, pa.string())).tolist() == [len(library(WORD).encode(t, add_special_tokens=False).ids) for t in texts]
 
 
 def frame(spark, texts):
@@ -127,8 +137,16 @@ def test_codes_give_any_token():
         token_store.Codes(b"no codes")
 
 
+def test_crc32_of_parts():
+    rng = random.Random(8)
+    raw = rng.randbytes(3000)
+    for cuts in ([], [0], [1, 2, 1500], [2999, 3000], sorted(rng.randrange(3000) for _ in range(20))):
+        parts = [raw[a:b] for a, b in zip([0, *cuts], [*cuts, 3000])]
+        assert token_store.join_crc32((len(p), zlib.crc32(p)) for p in parts) == zlib.crc32(raw)
+
+
 def test_store_round_trip(spark, monkeypatch):
-    monkeypatch.setattr(token_store, "SEGMENT_IDS", 700)
+    monkeypatch.setattr(token_store, "SEGMENT_IDS", 700)  # the word text takes several segments
     df = frame(spark, ODD_TEXTS)
     path = token_store.write_store(df, BYTE)
     rows = sorted(token_store.read_store(spark, path).collect(), key=lambda r: r.start)
