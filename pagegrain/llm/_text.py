@@ -21,11 +21,13 @@ SLICE_BYTES = 2 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share.  Where none is set, local mode takes a temporary one; a cluster raises."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="pagegrain-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -42,6 +44,35 @@ def written(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made and no later result reads."""
+    for table in tables:
+        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            hadoop = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+#: A key with over one in so many of a table's rows is hot, so there are at most as many hot keys.
+HOT_SHARE = 1000
+#: Rows of a key that are never called hot.
+HOT_LEAST = 10_000
+
+
+def join_salted(left: DataFrame, right: DataFrame, keys: list[str], count: str, rows: int, spread: list[str]) -> DataFrame:
+    """Inner join; ``right`` has a row for each key and says in ``count`` how many of ``left``'s ``rows`` rows have it.
+
+    A hot key's rows are dealt by a hash of ``spread`` to as many salts as it
+    fills shares.  Only the hot keys, ``HOT_SHARE`` at most, are broadcast.
+    """
+    share = max(rows // HOT_SHARE, HOT_LEAST)
+    salts = f"CAST({count} div {share} + 1 AS INT)"
+    hot = right.filter(F.col(count) > share).select(*keys, F.expr(salts).alias("__salts"))
+    marked = left.join(F.broadcast(hot), keys, "left")
+    marked = marked.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.coalesce("__salts", F.lit(1))).cast("int")).drop("__salts")
+    many = right.withColumn("__salt", F.explode(F.expr(f"sequence(0, {salts} - 1)")))
+    return marked.join(many.hint("shuffle_hash"), [*keys, "__salt"]).drop("__salt")
+
+
 def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator reads, under fixed names; extra columns never clash."""
     return df.select(

@@ -2,10 +2,11 @@
 
 Every window of ``length`` bytes holds one anchor: the least hash among the
 window's k-grams.  Windows can only be equal if their anchors are, so the runs
-of windows that share an anchor (super-windows) are grouped by it.  Runs equal
-as a whole need hashes alone.  Of anchors with different runs one text of each
-is sorted by suffixes, and previous and next smaller positions in that order
-tell which windows have an earlier (or any other) equal.
+of windows that share an anchor (super-windows) are grouped by it, and runs
+equal as a whole are one kind.  Of anchors with several kinds one text of each
+is sorted by suffixes; previous and next smaller positions in that order give
+the longest previous factor of every window start, and a factor of ``length``
+bytes is an earlier equal window.
 """
 
 from __future__ import annotations
@@ -16,16 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import RangeHash, id_text, slices, view, written
+from ._text import RangeHash, id_text, join_salted, slices, view, written
 
 #: Bytes of a k-gram; a window of length L chooses among L - K + 1 of them.
 K = 100
 #: Window starts that one numpy step handles; longer texts go in steps.
-STEP = 1 << 20
-#: Different runs of one anchor from which on windows are counted by Spark, one row each.
-HOT = 4096
+STEP = 1 << 18
+#: Kinds of runs of one anchor from which on windows are counted by Spark, one row each.
+HOT = 1024
 #: Bytes of run texts that one suffix sort handles, or one group's if that is more.
-SORT_BYTES = 4 << 20
+SORT_BYTES = 1 << 19
 #: Stands for a null doc_id in joins.
 NO_ID = -(1 << 63)
 
@@ -95,38 +96,71 @@ def anchors(df: DataFrame, length: int, k: int) -> DataFrame:
     return df.mapInArrow(run, "doc_id long, digest long, first long, last long, anchor long, content long")
 
 
-def suffix_ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Ranks of the suffixes at ``starts`` by their first ``length`` bytes: prefix doubling from 8 bytes on."""
-    padded = np.concatenate([data, np.zeros(length + 8, np.uint8)])
+def suffix_levels(data: np.ndarray, length: int) -> tuple[list[tuple[int, np.ndarray]], np.ndarray]:
+    """(depth, ranks of all suffixes by their first ``depth`` bytes) for depths 8, 16, ... up to ``length``, by prefix doubling.
+
+    Also the text, padded by zeros that the ranks see beyond its end.
+    """
+    padded = np.concatenate([data, np.zeros(2 * length + 8, np.uint8)])
     n = len(data) + length
     word = np.zeros(n, np.uint64)
-    for i in range(8):
+    for i in range(min(8, length)):
         word = word << np.uint64(8) | padded[i : i + n].astype(np.uint64)
-    depth = 8
-    rank = np.unique(word, return_inverse=True)[1]
-    while 2 * depth <= length:
+    depth, levels = min(8, length), []
+    rank = np.unique(word, return_inverse=True)[1].astype(np.int32)
+    while True:
+        levels.append((depth, rank))
+        if 2 * depth > length:
+            return levels, padded
         pair = rank[: len(rank) - depth].astype(np.uint64) << np.uint64(32) | rank[depth:].astype(np.uint64)
-        rank = np.unique(pair, return_inverse=True)[1]
+        rank = np.unique(pair, return_inverse=True)[1].astype(np.int32)
         depth *= 2
-    pair = rank[starts].astype(np.uint64) << np.uint64(32) | rank[starts + length - depth].astype(np.uint64)
-    return np.unique(pair, return_inverse=True)[1]
 
 
-def repeated_windows(data: np.ndarray, starts: np.ndarray, length: int, earlier_only: bool) -> np.ndarray:
-    """Whether each start's window has an equal one (an earlier one): its longest previous (or next) factor reaches ``length``.
+def smaller_before(place: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry the nearest one before it with a smaller place (-1: none), and the prefix both share.
 
-    In suffix order, ties by position, the suffixes that share ``length``
-    bytes form a run with rising positions.  A suffix's previous smaller
-    position with that common prefix is its left neighbour in the run, and its
-    next larger one is its right neighbour.
+    ``common`` tells the prefix each entry shares with the one before it.  All
+    entries jump at once: what a skipped entry has skipped is larger still.
     """
-    rank = suffix_ranks(data, starts, length)
-    order = np.lexsort((starts, rank))
-    same = rank[order][1:] == rank[order][:-1]
-    previous = np.concatenate([[False], same])
-    following = np.concatenate([same, [False]])
-    out = np.zeros(len(starts), bool)
-    out[order] = previous if earlier_only else previous | following
+    to, low = np.arange(-1, len(place) - 1), common.copy()
+    live = np.flatnonzero(place[to[1:]] > place[1:]) + 1
+    while len(live):
+        over = to[live]
+        low[live], to[live] = np.minimum(low[live], low[over]), to[over]
+        live = live[to[live] >= 0]
+        live = live[place[to[live]] > place[live]]
+    low[to < 0] = 0
+    return to, low
+
+
+def longest_factors(data: np.ndarray, starts: np.ndarray, length: int, earlier_only: bool) -> np.ndarray:
+    """For each start, how many bytes, ``length`` at most, also start earlier (or at any other of the starts).
+
+    The starts are put in suffix order; the previous and next entries with a
+    smaller position hold the longest previous factor, those with a larger one
+    the longest next factor.
+    """
+    levels, padded = suffix_levels(data, length)
+    depth, top = levels[-1]
+    window = top[starts].astype(np.uint64) << np.uint64(32) | top[starts + length - depth].astype(np.uint64)
+    order = np.lexsort((starts, window))
+    place = starts[order]
+    a, b = place[:-1], place[1:]
+    common = np.zeros(len(a), np.int64)
+    for depth, rank in reversed(levels):
+        fits = common + depth <= length
+        common += np.where(fits & (rank[a + np.minimum(common, length)] == rank[b + np.minimum(common, length)]), depth, 0)
+    for _ in range(min(8, length)):  # the last few bytes
+        common += (common < length) & (padded[a + common] == padded[b + common])
+    common = np.concatenate([[0], common])
+    back = np.concatenate([[0], common[1:][::-1]])
+    found = np.maximum(smaller_before(place, common)[1], smaller_before(place[::-1], back)[1][::-1])
+    if not earlier_only:
+        found = np.maximum(found, smaller_before(-place, common)[1])
+        found = np.maximum(found, smaller_before(-place[::-1], back)[1][::-1])
+    out = np.empty(len(starts), np.int64)
+    out[order] = found
     return out
 
 
@@ -139,18 +173,31 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 def _sorted_groups(length: int, earlier_only: bool):
     """Partition function: rows (anchor, content, n, doc_id, digest, first, body), by anchor, to (anchor, content, runs)."""
 
-    def solve(rows: list[dict]):
-        rows.sort(key=lambda r: (r["anchor"], r["doc_id"], r["digest"], r["first"]))
+    def laid_out(rows):
         bodies = [np.frombuffer(r["body"], np.uint8) for r in rows]
-        at = np.concatenate([[0], np.cumsum([len(b) for b in bodies])])
-        starts = np.concatenate([np.arange(a, b - length + 1) for a, b in zip(at[:-1], at[1:])])
-        flags = repeated_windows(np.concatenate(bodies), starts, length, earlier_only)
-        out, i = [], 0
-        for row, body in zip(rows, bodies):
-            m = len(body) - length + 1
-            if found := _runs(flags[i : i + m]):
-                out.append((row["anchor"], row["content"], [{"from": a, "to": b} for a, b in found]))
-            i += m
+        at = np.concatenate([[0], np.cumsum([len(b) for b in bodies])]).astype(np.int64)
+        counts = np.diff(at) - length + 1
+        body = np.repeat(np.arange(len(rows)), counts)
+        starts = at[body] + np.arange(len(body)) - np.repeat(np.cumsum(counts) - counts, counts)
+        return np.concatenate(bodies), starts, body, counts
+
+    def solve(rows: list[dict]):
+        # rows equal in id and text give the same run: they are one document
+        rows = sorted({(r["anchor"], r["content"]): r for r in rows}.values(), key=lambda r: (r["anchor"], r["doc_id"], r["digest"], r["first"]))
+        data, starts, body, _ = laid_out(rows)
+        hashes = RangeHash(data)(starts, starts + length)  # a window without an equal hash has no equal
+        order = np.argsort(hashes)
+        same = hashes[order][1:] == hashes[order][:-1]
+        twice = np.zeros(len(rows), bool)
+        twice[body[order[1:][same]]] = twice[body[order[:-1][same]]] = True
+        rows = [r for r, t in zip(rows, twice) if t]
+        out = []
+        if rows:
+            data, starts, body, counts = laid_out(rows)
+            flags = longest_factors(data, starts, length, earlier_only) >= length
+            for row, part in zip(rows, np.split(flags, np.cumsum(counts)[:-1])):
+                if found := _runs(part):
+                    out.append((row["anchor"], row["content"], [{"from": a, "to": b} for a, b in found]))
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))]
         cols = list(zip(*out)) or [[], [], []]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["anchor", "content", "runs"])
@@ -188,8 +235,7 @@ def _bodies(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
                     rows.append((s["anchor"], s["content"], s["n"], s["hot"], doc, digest, s["first"], body))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)), kinds)], names=names)
 
-    once = docs.dropDuplicates(["doc_id", "digest"])  # rows equal in id and text are one document
-    joined = once.join(listed, ["doc_id", "digest"]).select("doc_id", "text", "digest", "spots")
+    joined = docs.join(listed.hint("shuffle_hash"), ["doc_id", "digest"]).select("doc_id", "text", "digest", "spots")
     schema = "anchor long, content long, n long, hot boolean, doc_id long, digest long, first long, body binary"
     return joined.mapInArrow(run, schema)
 
@@ -210,10 +256,9 @@ def _counted_windows(bodies: DataFrame, length: int, earlier_only: bool) -> Data
             yield pa.RecordBatch.from_arrays(cols, names=["anchor", "content", "doc_id", "digest", "first", "at", "window"])
 
     rows = bodies.mapInArrow(run, "anchor long, content long, doc_id long, digest long, first long, at long, window long")
-    place = F.struct("doc_id", "digest", (F.col("first") + F.col("at")).alias("at"))
-    rows = rows.withColumn("place", place)
+    rows = written(rows.withColumn("place", F.struct("doc_id", "digest", (F.col("first") + F.col("at")).alias("at"))), "windows")
     counted = rows.groupBy("anchor", "window").agg(F.count("*").alias("m"), F.min("place").alias("least")).filter("m > 1")
-    found = rows.join(counted, ["anchor", "window"])
+    found = join_salted(rows, written(counted, "counted"), ["anchor", "window"], "m", rows.count(), ["content"])
     if earlier_only:
         found = found.filter("place <> least")
     runs = F.array_sort(F.collect_set("at"))
@@ -225,17 +270,20 @@ def repeated_spans(docs: DataFrame, length: int, k: int, earlier_only: bool, hot
     """doc_id, digest, spans (start, stop; they may overlap) of all texts with repeated windows."""
     found = written(anchors(docs, length, k), "anchors")
     where = F.struct("doc_id", "digest", "first", "last")
-    kinds = found.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(where).alias("least"))
-    kinds = written(kinds, "kinds")
-    mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    wanted = kinds.join(mixed, "anchor").select("anchor", "content", "n", (F.col("kinds") > hot).alias("hot"), "least.*")
+    kinds = written(found.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(where).alias("least")), "kinds")
+    mixed = written(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "mixed")
+    wanted = join_salted(kinds, mixed, ["anchor"], "kinds", kinds.count(), ["content"])
+    wanted = wanted.select("anchor", "content", "n", (F.col("kinds") > hot).alias("hot"), "least.*")
     bodies = written(_bodies(wanted, docs, length), "bodies")
     plain = bodies.filter("NOT hot").repartition("anchor").sortWithinPartitions("anchor")
     runs = plain.mapInArrow(
         _sorted_groups(length, earlier_only), "anchor long, content long, runs array<struct<from:bigint,to:bigint>>"
-    ).unionByName(_counted_windows(bodies.filter("hot"), length, earlier_only))
-    told = kinds.join(runs, ["anchor", "content"], "left").filter("n > 1 OR runs IS NOT NULL")
-    hit = found.join(told.select("anchor", "content", "n", "least", "runs"), ["anchor", "content"])
+    )
+    if not mixed.filter(F.col("kinds") > hot).isEmpty():
+        runs = runs.unionByName(_counted_windows(bodies.filter("hot").dropDuplicates(["anchor", "content"]), length, earlier_only))
+    told = kinds.join(runs.hint("shuffle_hash"), ["anchor", "content"], "left").filter("n > 1 OR runs IS NOT NULL")
+    told = written(told.select("anchor", "content", "n", "least", "runs"), "told")
+    hit = join_salted(found, told, ["anchor", "content"], "n", found.count(), ["doc_id", "first"])
     everything = F.array(F.struct(F.lit(0).cast("long").alias("from"), (F.col("last") - F.col("first")).alias("to")))
     is_least = (F.col("doc_id") == F.col("least.doc_id")) & (F.col("digest") == F.col("least.digest")) & (F.col("first") == F.col("least.first"))
     whole = ~is_least if earlier_only else F.col("n") > 1
@@ -300,7 +348,7 @@ def remove_repeats(
             cols = [pa.array(c, t) for c, t in zip((removed, merged, kept), kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(offsets)), *cols], names=names)
 
-    joined = docs.join(spans, ["doc_id", "digest"], "left").select("doc_id", "text", "digest", "spans")
+    joined = docs.join(spans.hint("shuffle_hash"), ["doc_id", "digest"], "left").select("doc_id", "text", "digest", "spans")
     return joined.mapInArrow(run, schema).withColumn("doc_id", F.expr(f"nullif(doc_id, {NO_ID}L)"))
 
 
@@ -320,7 +368,7 @@ def cut_rows(
     )
     spans = repeated_spans(plain, length, k, True, hot)
     spans = spans.select(F.col("doc_id").alias("__of"), F.col("digest").alias("__its"), F.col("spans").alias("__spans"))
-    joined = keyed.join(spans, (F.col("__id") == F.col("__of")) & (F.col("__digest") == F.col("__its")), "left")
+    joined = keyed.join(spans.hint("shuffle_hash"), (F.col("__id") == F.col("__of")) & (F.col("__digest") == F.col("__its")), "left")
 
 
     @F.pandas_udf("string")

@@ -1,6 +1,9 @@
 import random
 from collections import defaultdict
 
+import numpy as np
+
+from pagegrain.llm import _text, suffix_dedup
 from pagegrain.llm.suffix_dedup import remove_repeats
 
 
@@ -49,6 +52,12 @@ def test_hot_anchors_are_counted_by_window(spark):
         check(spark, corpus(3), keep_first, hot=2)
 
 
+def test_hot_keys_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(_text, "HOT_LEAST", 2)
+    check(spark, corpus(4), False)
+    check(spark, corpus(4), True, hot=2)
+
+
 def test_rows_equal_in_id_and_text_are_one_document(spark):
     rows = corpus(6)
     rows += [(None, rows[4][1])] + [(300, "b" + rows[8][1] + " aé"), (301, rows[9][1])]
@@ -67,13 +76,24 @@ def test_empty_table(spark):
 
 
 def test_long_texts_go_in_steps(spark, monkeypatch):
-    from pagegrain.llm import suffix_dedup
-
+    monkeypatch.setattr(suffix_dedup, "STEP", 200)
     rng = random.Random(5)
     long = "".join(rng.choice("abcdefgh ") for _ in range(3000))
-    data = long[:1200] + long[700:]
-    import numpy as np
+    for keep_first in (False, True):
+        check(spark, [(1, long[:1200] + long[700:]), (2, "x" + long[2500:2620]), (3, long), (4, "short")], keep_first)
+
+
+def test_longest_factors_equal_brute_force():
+    rng = np.random.default_rng(9)
+    for length, letters in ((3, 2), (24, 2), (24, 4), (40, 1)):
+        data = rng.integers(97, 97 + letters, 150).astype(np.uint8)
+        data[60:110] = data[5:55]
+        raw = data.tobytes()
+        starts = np.sort(rng.choice(len(raw) - length + 1, 60, replace=False))
+
+        def shared(a, b):
+            return next((i for i in range(length) if raw[a + i] != raw[b + i]), length)
 
-    raw = np.frombuffer(data.encode(), np.uint8)
-    whole = suffix_dedup.super_windows(raw, np.array([0, len(raw)]), 24, 6)
-    assert sum(int(b - a + 1) for a, b in zip(whole[1], whole[2])) == len(raw) - 23
+        for earlier_only in (True, False):
+            want = [max((shared(a, b) for b in starts if b < a or not earlier_only and a != b), default=0) for a in starts]
+            assert suffix_dedup.longest_factors(data, starts, length, earlier_only).tolist() == want
