@@ -1,7 +1,8 @@
 """URL filtering by rules and by a tree of path templates per host.
 
-Variable segments become wildcards, siblings whose labelled rates do not
-differ are merged, and templates whose smoothed purity is too low are rejected.
+Variable segments become wildcards, sibling branches whose labelled rates do
+not differ are merged, and templates whose purity, smoothed towards that of the
+branch above, is too low are rejected.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._text import written
+from ._text import join_salted, written
 
 ANY = "*"
 
@@ -50,7 +51,7 @@ def masked(path: Column) -> Column:
 
 
 def _generalise(tree: DataFrame, at: int, distinct_least: int, distinct_share: float, z: float, labelled_least: int) -> DataFrame:
-    """Segment ``at`` (from 0): many rare values become ``*``; so do siblings that are alike."""
+    """Segment ``at`` (from 0): many rare values become ``*``; so do siblings that differ from the rest no more than chance has it."""
     segment, above = F.get("template", F.lit(at)), F.slice("template", 1, at)
     child = tree.select("host", above.alias("above"), segment.alias("segment"), "n", "labelled", "bad").filter("segment IS NOT NULL")
     child = child.groupBy("host", "above", "segment").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")])
@@ -58,10 +59,12 @@ def _generalise(tree: DataFrame, at: int, distinct_least: int, distinct_share: f
         F.count("*").alias("kinds"), F.sum("n").alias("all_n"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad")
     )
     rate = F.col("all_bad") / F.col("all_labelled")
-    spread = F.sqrt(rate * (1 - rate) / F.col("labelled"))
-    alike = (F.col("labelled") < labelled_least) | (F.abs(F.col("bad") / F.col("labelled") - rate) <= z * spread)
+    others, bad = F.col("all_labelled") - F.col("labelled"), F.col("all_bad") - F.col("bad")
+    enough = (F.col("labelled") >= labelled_least) & (others >= labelled_least)
+    error = F.sqrt(rate * (1 - rate) * (1 / F.col("labelled") + 1 / F.nullif(others, F.lit(0))))
+    alike = enough & (F.abs(F.col("bad") / F.col("labelled") - bad / F.nullif(others, F.lit(0))) <= z * error + 1e-12)
     variable = (F.col("kinds") >= distinct_least) & (F.col("kinds") >= distinct_share * F.col("all_n"))
-    merged = child.join(parent, ["host", "above"]).filter(variable | (F.coalesce(alike, F.lit(True)) & (F.col("kinds") > 1)))
+    merged = child.join(parent, ["host", "above"]).filter(variable | F.coalesce(alike, F.lit(False)))
     merged = merged.select("host", "above", "segment", F.lit(ANY).alias("to"))
     return (
         tree.withColumn("above", above)
@@ -86,18 +89,23 @@ def template_tree(
     weight: float = 10.0,
     purity_least: float = 0.7,
 ) -> DataFrame:
-    """host, shape, template, purity, rejected for every distinct (host, shape) of ``urls``.
-
-    ``urls`` has host, shape (segments as ``masked`` gives them) and bad (1, 0,
-    or null without a label).  Level by level, down to the longest shape's last, a segment becomes a wildcard if
-    its parent has at least ``distinct_least`` kinds of it, ``distinct_share``
-    of its pages, or if its rate of bad pages lies within ``z`` standard
-    errors of its siblings' common rate (always, under ``labelled_least``
-    labels).  purity = (good + weight * overall good rate) / (labelled +
-    weight); a template with labels whose purity is under ``purity_least`` is rejected.
+    """host, shape, template, purity, rejected, n for every distinct (host, shape) of ``urls``.
+
+    ``urls`` has host, shape (segments as ``masked`` gives them), bad (1, 0,
+    or null without a label) and n (pages).  Level by level, down to the longest
+    shape's last, a segment becomes a wildcard if its parent has at least
+    ``distinct_least`` kinds of it, ``distinct_share`` of its pages, or if its
+    rate of bad pages and that of its siblings, with ``labelled_least`` labels
+    each, lie within ``z`` standard errors of their difference.  A branch with
+    fewer labels keeps its name and leans on the branch above: purity = (good +
+    weight * purity above) / (labelled + weight), and above a host's root stands
+    the good rate of all labels.  A template with labels, or with
+    ``labelled_least`` in the branch above, is rejected if its purity is under
+    ``purity_least``.
     """
+    n = F.col("n").cast("long")
     tree = urls.groupBy("host", "shape").agg(
-        F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")
+        F.sum(n).alias("n"), F.coalesce(F.sum(F.when(F.col("bad").isNotNull(), n)), F.lit(0)).alias("labelled"), F.coalesce(F.sum(F.col("bad") * n), F.lit(0)).alias("bad")
     )
     tree = written(tree.withColumn("template", F.col("shape")), "tree")
     sizes = sorted(r["size"] for r in tree.select(F.size("shape").alias("size")).distinct().collect())
@@ -109,18 +117,31 @@ def template_tree(
             tree = tree.filter(F.size("shape") > at + 1)
     for part in done:
         tree = tree.unionByName(part)
-    overall = tree.agg((1 - F.sum("bad") / F.sum("labelled")).alias("good_rate"))
-    whole = tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    whole = whole.join(F.broadcast(overall)).select(  # one row
-        "host",
-        "template",
-        (
-            (F.col("labelled") - F.col("bad") + weight * F.coalesce("good_rate", F.lit(1.0))) / (F.col("labelled") + F.lit(weight))
-        ).alias("purity"),
-        "labelled",
-    )
-    whole = whole.withColumn("rejected", (F.col("labelled") > 0) & (F.round("purity", 9) < purity_least)).drop("labelled")
-    return tree.select("host", "shape", "template").join(whole, ["host", "template"])
+    tree = written(tree, "templates")
+    overall = tree.agg((1 - F.sum("bad") / F.sum("labelled")).alias("good")).first()["good"]
+
+    def smoothed(part: DataFrame, above: DataFrame | None, keys: list[str]) -> DataFrame:
+        """Purity and labelled of the rows of ``part``, whose branch above is in ``up``, and labels_above, those of that branch."""
+        if above is None:
+            part = part.withColumn("prior", F.lit(1.0 if overall is None else float(overall))).withColumn("labels_above", F.lit(0).cast("long"))
+        else:
+            told = above.select("host", F.col("branch").alias("up"), F.col("purity").alias("prior"), F.col("labelled").alias("labels_above"))
+            part = part.join(told, ["host", "up"])
+        here = (F.col("labelled") - F.col("bad") + weight * F.col("prior")) / (F.col("labelled") + F.lit(weight))
+        return part.select(*keys, here.alias("purity"), "labelled", "labels_above")
+
+    sums = [F.sum(c).alias(c) for c in ("labelled", "bad")]
+    branches = above = None
+    for depth in range(max(sizes, default=0)):  # from each host's root down
+        branch = tree.filter(F.size("template") > depth).groupBy("host", F.slice("template", 1, depth).alias("branch")).agg(*sums)
+        branch = branch.withColumn("up", F.slice("branch", 1, max(depth - 1, 0)))
+        above = written(smoothed(branch, above, ["host", "branch"]), "purity")
+        branches = above if branches is None else branches.unionByName(above)
+    leaves = tree.groupBy("host", "template").agg(*sums).withColumn("up", F.slice("template", F.lit(1), F.size("template") - 1))
+    leaves = smoothed(leaves, branches, ["host", "template"])
+    told = (F.col("labelled") > 0) | (F.col("labels_above") >= labelled_least)
+    leaves = leaves.withColumn("rejected", told & (F.round("purity", 9) < purity_least)).drop("labelled", "labels_above")
+    return tree.select("host", "shape", "template", "n").join(leaves, ["host", "template"])
 
 
 def filter_urls(
@@ -128,10 +149,10 @@ def filter_urls(
 ) -> DataFrame:
     """A row for each page: page_id, host, path, rule, template, purity, verdict (allow or block).
 
-    ``labels`` has key and bad (1 or 0, one row a key); a page is labelled by
+    ``labels`` has key and bad (1 or 0; of repeated keys the greatest counts); a page is labelled by
     the first all-digit segment of its path.  The longest fitting rule decides;
     without one, block if the page's template is rejected.  A null url, or one
-    without ``://``, has empty host and path, which is a template of its own.
+    without ``://``, has empty host and path and no template, and is allowed.
     Ids may be null or repeat; an empty table gives no rows; other columns are
     ignored.
     """
@@ -141,12 +162,12 @@ def filter_urls(
     number = F.expr("try_cast(nullif(regexp_extract(path, '/([0-9]+)(?:[/.]|$)', 1), '') AS BIGINT)")
     keyed = rows.filter("host <> ''").select("host", "shape", number.alias("key"))
     counted = keyed.groupBy("host", "shape", "key").agg(F.count("*").alias("n"))
-    told = counted.join(labels.select("key", "bad"), "key", "left")
-    told = told.select("host", "shape", F.expr("CAST(bad AS BIGINT) AS bad"), F.explode(F.sequence(F.lit(1).cast("long"), "n")))
-    tree = template_tree(told.select("host", "shape", "bad"), **options)
+    once = labels.groupBy("key").agg(F.max(F.col("bad").cast("long")).alias("bad"))
+    tree = written(template_tree(counted.join(once, "key", "left").select("host", "shape", "bad", "n"), **options), "tree")
     rule, verdict = match_rule(F.col("host"), F.col("path"), rules)
     other = F.when(F.coalesce("rejected", F.lit(False)), F.lit("block")).otherwise(F.lit("allow"))
-    return rows.join(tree, ["host", "shape"], "left").select(
+    known = join_salted(rows.filter("host <> ''"), tree, ["host", "shape"], "n", rows.count(), ["page_id", "path"]).drop("n")
+    return known.unionByName(rows.filter("host = ''"), allowMissingColumns=True).select(
         "page_id", "host", "path", rule.alias("rule"), F.array_join(F.col("template"), "/").alias("template"), "purity",
         F.coalesce(verdict, other).alias("verdict"),
     )

@@ -54,14 +54,18 @@ def test_quality_limits_follow_their_sample():
 
 
 def test_jpeg_gives_payloads_back(spark):
-    rows = {str(r.doc_id) + str(r.n_bytes): r for r in jpeg_media.media(frame(spark)).collect()}
+    stored = jpeg_media.media(frame(spark))
+    files = {str(r.doc_id) + str(r.n_bytes): bytes(r.media) for r in stored.collect()}
+    rows = {str(r.doc_id) + str(r.n_bytes): r for r in jpeg_media.media_payloads(stored).collect()}
+    assert jpeg_media.media_payloads(jpeg_media.media(frame(spark).limit(0))).count() == 0
     for i, text in enumerate(TEXTS):
         raw = (text or "").encode()
         raw += bytes(-len(raw) % 64 or (0 if raw else 64))
         r = rows[str(i) + str(len((text or "").encode()))]
         assert (r.payload_bytes, r.payload_sha256) == (len(raw), hashlib.sha256(raw).hexdigest())
-        assert r.media_sha256 == hashlib.sha256(bytes(r.media)).hexdigest()
-    bad = spark.createDataFrame([(1, b"no jpeg"), (2, None), (3, bytes(rows["21"].media))], "id long, media binary")
+        file = files[str(i) + str(len((text or "").encode()))]
+        assert (r.media_bytes, r.media_sha256) == (len(file), hashlib.sha256(file).hexdigest())
+    bad = spark.createDataFrame([(1, b"no jpeg"), (2, None), (3, files["21"])], "id long, media binary")
     told = {r.id: r for r in jpeg_media.media_features(bad).collect()}
     assert told[1].error and told[2].error and told[3].error is None and told[3].width == 512
 
@@ -132,6 +136,28 @@ def test_url_rules_and_templates(spark):
     assert url_filter.filter_urls(pages.limit(0), labels, rules).count() == 0
 
 
+def test_url_branches_without_labels_keep_their_names(spark):
+    """Purity against a plain recursion over the tree's branches."""
+    kinds = {"spam": (30, 1), "ham": (30, 0), "few": (3, 1), "none": (4, None)}
+    rows = [("h.org", [kind, "x"], bad) for kind, (n, bad) in kinds.items() for _ in range(n)] + [("i.org", ["a"], None), ("h.org", [""], 0)]
+    urls = spark.createDataFrame([(*r, 1) for r in rows], "host string, shape array<string>, bad long, n long")
+    got = {(r.host, *r.shape): r for r in url_filter.template_tree(urls).collect()}
+    assert all(tuple(r.template) == key[1:] for key, r in got.items())
+    bads = [b for *_, b in rows if b is not None]
+    overall = 1 - sum(bads) / len(bads)
+
+    def purity(host, template):
+        prior = overall
+        for depth in range(len(template) + 1):
+            mine = [b for h, t, b in rows if b is not None and h == host and (t[:depth] == template[:depth] and len(t) > depth if depth < len(template) else t == template)]
+            prior = (len(mine) - sum(mine) + 10 * prior) / (len(mine) + 10)
+        return prior
+
+    for (host, *shape), r in got.items():
+        assert abs(r.purity - purity(host, shape)) < 1e-9, (host, shape)
+    assert got["h.org", "spam", "x"].rejected and not got["h.org", "ham", "x"].rejected and not got["i.org", "a"].rejected
+
+
 def test_url_templates_reach_every_level(spark):
     urls = [f"http://h.org/a/b/c/d/{kind}/e/{i}.html" for kind, least in (("spam", 0), ("good", 1000)) for i in range(least, least + 60)]
     urls += ["http://h.org/a/b", "http://h.org/" + "x/" * 11 + "y"]
