@@ -321,40 +321,49 @@ def thumbnail_hash(thumb: np.ndarray) -> str:
     return np.packbits(grid > grid.mean()).tobytes().hex()
 
 
-def media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_media: bool = True) -> DataFrame:
-    """A row for each text stored as JPEG: doc_id, n_bytes, width, height, payload_bytes, payload_sha256,
-    tail_crc32, media_bytes, media_sha256, feature (size and thumbnail hash), and the file itself.
+def media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each text: doc_id, n_bytes and media, a JPEG file that holds the text losslessly.
 
     The payload is the text's UTF-8 with zero bytes up to a positive multiple
-    of 64; all but n_bytes is read back from the stored file.  Null text is
-    empty; ids may be null or repeat; an empty table gives no rows; other
-    columns are ignored.
+    of 64.  Null text is empty; ids may be null or repeat; an empty table gives
+    no rows; other columns are ignored.
     """
+
+    def run(batches):
+        for batch in slices(batches, limit=1 << 20):
+            raws = [t.encode() for t in batch.column(1).to_pylist()]
+            files = encode_payloads([r + bytes(-len(r) % WIDTH or (0 if r else WIDTH)) for r in raws])
+            cols = [batch.column(0), pa.array(list(map(len, raws)), pa.int64()), pa.array(files, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "media"])
+
+    return id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+
+
+def media_payloads(stored: DataFrame) -> DataFrame:
+    """What the stored files of ``media`` hold: doc_id, n_bytes, width, height, payload_bytes, payload_sha256, tail_crc32,
+    media_bytes, media_sha256, feature (size and thumbnail hash).  All but doc_id and n_bytes is read from the file."""
     schema = (
         "doc_id long, n_bytes long, width int, height int, payload_bytes long, payload_sha256 string, "
         "tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     )
-    names = [x.split()[0] for x in schema.split(", ")] + ["media"] * with_media
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
-        for batch in slices(batches, limit=1 << 20):
-            raws = [t.encode() for t in batch.column(1).to_pylist()]
-            files = encode_payloads([r + bytes(-len(r) % WIDTH or (0 if r else WIDTH)) for r in raws])
-            rows = []
-            for raw, file, frames in zip(raws, files, thumbnails(files)):
+        for batch in slices(batches, "media", limit=1 << 20):
+            files, rows = batch.column(2).to_pylist(), []
+            for file, frames in zip(files, thumbnails(files)):
                 thumb = frames[0][2] if len(frames) == 1 else np.concatenate([f[2] for f in frames])
                 back = thumb.tobytes()
                 width, height = frames[0][0], sum(f[1] for f in frames)
                 rows.append(
-                    (len(raw), width, height, len(back), sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(file),
+                    (width, height, len(back), sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(file),
                      sha256(file).hexdigest(), f"{width}x{height}:{thumbnail_hash(thumb)}")
                 )
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             cols = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
-            kept = [pa.array(files, pa.binary())] if with_media else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, *kept], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=names)
 
-    return id_text(df, id_col, text_col).mapInArrow(run, schema + ", media binary" * with_media)
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
 
 
 def media_features(df: DataFrame, id_col: str = "id", media_col: str = "media") -> DataFrame:
