@@ -47,7 +47,7 @@ def written(df: DataFrame, label: str = "table") -> DataFrame:
 def dropped(*tables: DataFrame) -> None:
     """Delete tables that ``written`` made and no later result reads."""
     for table in tables:
-        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()[:1]}:
             hadoop = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             hadoop.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
@@ -62,12 +62,15 @@ def join_salted(left: DataFrame, right: DataFrame, keys: list[str], count: str,
     """Inner join; ``right`` has a row for each key and says in ``count`` how many of ``left``'s ``rows`` rows have it.
 
     A hot key's rows are dealt by a hash of ``spread`` to as many salts as it
-    fills shares.  Only the hot keys, ``HOT_SHARE`` at most, are broadcast.
+    fills shares.  Only the hot keys, ``HOT_SHARE`` at most, and the most
+    frequent of the others, so that plans are alike with and without hot ones,
+    are broadcast.
     """
     share = max(rows // HOT_SHARE, HOT_LEAST)
     salts = f"CAST({count} div {share} + 1 AS INT)"
     hot = right.filter(F.col(count) > share).select(*keys, F.expr(salts).alias("__salts"))
-    marked = left.join(F.broadcast(hot), keys, "left")
+    most = right.filter(F.col(count) <= share).agg(F.max_by(F.struct(*keys), count).alias("most")).select("most.*", F.lit(1).alias("__salts"))
+    marked = left.join(F.broadcast(hot.unionByName(most)), keys, "left")
     marked = marked.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.coalesce("__salts", F.lit(1))).cast("int")).drop("__salts")
     many = right.withColumn("__salt", F.explode(F.expr(f"sequence(0, {salts} - 1)")))
     return marked.join(many.hint("shuffle_hash"), [*keys, "__salt"]).drop("__salt")

@@ -65,11 +65,16 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+#: Bytes from which on op5 notes a repeated passage, about fifty words; it removes from 400 on.
+PASSAGE = 256
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep_first=False)
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep_first=False, noted=PASSAGE)
     return out.select(
-        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
-    )
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        F.col("n_noted").alias("n_repeated"),
+    )
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

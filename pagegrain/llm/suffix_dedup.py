@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import RangeHash, id_text, join_salted, slices, view, written
+from ._text import RangeHash, dropped, id_text, join_salted, slices, view, written
 
 #: Bytes of a k-gram; a window of length L chooses among L - K + 1 of them.
 K = 100
@@ -76,12 +76,17 @@ def super_windows(data: np.ndarray, offsets: np.ndarray, length: int, k: int):
 
 
 def anchors(df: DataFrame, length: int, k: int) -> DataFrame:
-    """doc_id, digest, first, last, anchor, content: the super-windows of all texts."""
+    """doc_id, digest, first, last, anchor, content: the super-windows of all texts (doc_id, digest, base, text).
+
+    A text is a whole document, base 0, or a piece of one from byte base on;
+    first and last count from the document's start.
+    """
     names = ["doc_id", "digest", "first", "last", "anchor", "content"]
 
     def run(batches):
         for batch in slices(batches, limit=STEP):
-            data, offsets = view(batch.column(1))
+            data, offsets = view(batch.column(3))
+            shift = batch.column(2).to_numpy()
             if len(data) <= 2 * STEP:
                 steps = [(0, data, offsets)]
             else:  # one long text: window starts in steps
@@ -89,11 +94,13 @@ def anchors(df: DataFrame, length: int, k: int) -> DataFrame:
             for base, part, bounds in steps:
                 row, first, last, anchor, content = super_windows(part, bounds, length, k)
                 take = pa.array(row)
-                cols = [batch.column(0).take(take), batch.column(2).take(take)]
+                base = base + shift[row]
+                cols = [batch.column(0).take(take), batch.column(1).take(take)]
                 cols += [pa.array(first + base), pa.array(last + base), pa.array(anchor), pa.array(content)]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return df.mapInArrow(run, "doc_id long, digest long, first long, last long, anchor long, content long")
+    rows = df.select("doc_id", "digest", "base", "text")
+    return rows.mapInArrow(run, "doc_id long, digest long, first long, last long, anchor long, content long")
 
 
 def suffix_levels(data: np.ndarray, length: int) -> tuple[list[tuple[int, np.ndarray]], np.ndarray]:
@@ -226,16 +233,18 @@ def _bodies(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         for batch in slices(batches):
-            data, offsets = view(batch.column(1))
+            data, offsets = view(batch.column(batch.schema.get_field_index("text")))
             rows = []
-            for i, (doc, digest, spots) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)))):
+            for i, (doc, digest, base, spots) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 4)))):
                 text = data[offsets[i] : offsets[i + 1]]
                 for s in spots:
-                    body = text[s["first"] : s["last"] + length].tobytes()
-                    rows.append((s["anchor"], s["content"], s["n"], s["hot"], doc, digest, s["first"], body))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)), kinds)], names=names)
+                    a, b = s["first"] - base, s["last"] - base + length
+                    if 0 <= a and b <= len(text):
+                        rows.append((s["anchor"], s["content"], s["n"], s["hot"], doc, digest, s["first"], text[a:b].tobytes()))
+            cols = list(zip(*rows)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
-    joined = docs.join(listed.hint("shuffle_hash"), ["doc_id", "digest"]).select("doc_id", "text", "digest", "spots")
+    joined = docs.join(listed.hint("shuffle_hash"), ["doc_id", "digest"]).select("doc_id", "digest", "base", "text", "spots")
     schema = "anchor long, content long, n long, hot boolean, doc_id long, digest long, first long, body binary"
     return joined.mapInArrow(run, schema)
 
@@ -267,7 +276,7 @@ def _counted_windows(bodies: DataFrame, length: int, earlier_only: bool) -> Data
 
 
 def repeated_spans(docs: DataFrame, length: int, k: int, earlier_only: bool, hot: int) -> DataFrame:
-    """doc_id, digest, spans (start, stop; they may overlap) of all texts with repeated windows."""
+    """doc_id, digest, spans (start, stop; they may overlap) of all texts with repeated windows; written."""
     found = written(anchors(docs, length, k), "anchors")
     where = F.struct("doc_id", "digest", "first", "last")
     kinds = written(found.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(where).alias("least")), "kinds")
@@ -283,6 +292,7 @@ def repeated_spans(docs: DataFrame, length: int, k: int, earlier_only: bool, hot
         runs = runs.unionByName(_counted_windows(bodies.filter("hot").dropDuplicates(["anchor", "content"]), length, earlier_only))
     told = kinds.join(runs.hint("shuffle_hash"), ["anchor", "content"], "left").filter("n > 1 OR runs IS NOT NULL")
     told = written(told.select("anchor", "content", "n", "least", "runs"), "told")
+    dropped(kinds, mixed, bodies)
     hit = join_salted(found, told, ["anchor", "content"], "n", found.count(), ["doc_id", "first"])
     everything = F.array(F.struct(F.lit(0).cast("long").alias("from"), (F.col("last") - F.col("first")).alias("to")))
     is_least = (F.col("doc_id") == F.col("least.doc_id")) & (F.col("digest") == F.col("least.digest")) & (F.col("first") == F.col("least.first"))
@@ -292,7 +302,26 @@ def repeated_spans(docs: DataFrame, length: int, k: int, earlier_only: bool, hot
         lambda r: F.struct((F.col("first") + r["from"]).alias("start"), (F.col("first") + r["to"] + length).alias("stop")),
     )
     hit = hit.select("doc_id", "digest", spans.alias("spans")).filter("spans IS NOT NULL")
-    return hit.groupBy("doc_id", "digest").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    out = written(hit.groupBy("doc_id", "digest").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    dropped(found, told)
+    return out
+
+
+def repeated_pieces(docs: DataFrame, spans: DataFrame, least: int) -> DataFrame:
+    """doc_id, digest, base, text: the merged spans of ``least`` bytes or more, as binary texts."""
+    names = ["doc_id", "digest", "base", "text"]
+
+    def run(batches):
+        for batch in slices(batches):
+            data, offsets = view(batch.column(2))
+            rows = []
+            for i, (doc, digest, found) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 3)))):
+                rows += [(doc, digest, a, data[offsets[i] + a : offsets[i] + b].tobytes()) for a, b in merge_spans(found) if b - a >= least]
+            cols = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.binary()])], names=names)
+
+    joined = docs.join(spans.hint("shuffle_hash"), ["doc_id", "digest"]).select("doc_id", "digest", "text", "spans")
+    return joined.mapInArrow(run, "doc_id long, digest long, base long, text binary")
 
 
 def merge_spans(spans) -> list[tuple[int, int]]:
@@ -314,23 +343,45 @@ def remove_repeats(
     keep_first: bool = True,
     k: int = K,
     hot: int = HOT,
+    noted: int | None = None,
+    noted_k: int = 64,
 ) -> DataFrame:
-    """A row for each text: doc_id, digest, n_bytes, n_removed, spans (removed, merged), kept (the bytes left).
+    """A row for each text: doc_id, digest, n_bytes, n_removed, spans (removed, merged), kept (the bytes left), n_noted.
 
     Removed is each byte covered by a ``length``-byte string that also starts
     earlier (by doc_id, then place; with ``keep_first``) or anywhere else, same
     document included; strings are those of the input.  Matches never cross
-    documents.  Hashes of 64 bits (twice: anchor and run) stand for equal runs.
+    documents.  Two 64-bit hashes (anchor and run) stand for equal runs.
+
+    With ``noted``, a shorter length, n_noted counts the bytes covered by a
+    string of so many bytes that also starts anywhere else; else it is null.
+    Only texts between such strings' ends can hold longer copies, so
+    ``length`` is then sought in those pieces alone.
 
     Null text is empty; texts shorter than ``length`` lose nothing; null ids
-    come first; rows equal in id and text count as copies of each other, but
-    with ``keep_first`` as one document; an empty table gives no rows; other
-    columns are ignored.
+    come first, and an id of -2**63 counts as null; rows equal in id and text
+    count as copies of each other, but with ``keep_first`` as one document; an
+    empty table gives no rows; other columns are ignored.
     """
     docs = id_text(df, id_col, text_col)
-    docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("digest"))
-    spans = repeated_spans(docs, length, k, keep_first, hot)
-    schema = "doc_id long, digest long, n_bytes long, n_removed long, spans array<struct<start:bigint,stop:bigint>>, kept binary"
+    docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("digest"), F.lit(0).cast("long").alias("base"))
+    if noted is None:
+        spans = repeated_spans(docs, length, k, keep_first, hot).withColumn("noted", F.lit(None).cast("long"))
+    else:
+        found = repeated_spans(docs, noted, noted_k, False, hot)
+        pieces = written(repeated_pieces(docs, found, length), "pieces")
+        spans = repeated_spans(pieces, length, k, keep_first, hot)
+        dropped(pieces)
+
+        @F.pandas_udf("long")
+        def covered(spans: pd.Series) -> pd.Series:
+            return pd.Series([sum(b - a for a, b in merge_spans(row)) for row in spans], dtype="int64")
+
+        spans = found.select("doc_id", "digest", covered("spans").alias("noted")).join(spans, ["doc_id", "digest"], "left")
+        docs = docs.withColumn("none", F.lit(0).cast("long"))
+    schema = (
+        "doc_id long, digest long, n_bytes long, n_removed long, spans array<struct<start:bigint,stop:bigint>>, kept binary, n_noted long"
+    )
 
     def run(batches):
         names = [x.split()[0] for x in schema.replace("<", " ").split(", ")]
@@ -346,9 +397,11 @@ def remove_repeats(
                 removed.append(len(text) - len(kept[-1]))
                 merged.append([{"start": a, "stop": b} for a, b in cut])
             cols = [pa.array(c, t) for c, t in zip((removed, merged, kept), kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(offsets)), *cols], names=names)
+            sizes = pa.array(np.diff(offsets))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), sizes, *cols, batch.column(4)], names=names)
 
-    joined = docs.join(spans.hint("shuffle_hash"), ["doc_id", "digest"], "left").select("doc_id", "text", "digest", "spans")
+    joined = docs.join(spans.hint("shuffle_hash"), ["doc_id", "digest"], "left")
+    joined = joined.select("doc_id", "text", "digest", "spans", F.coalesce("noted", "none").alias("noted") if noted is not None else "noted")
     return joined.mapInArrow(run, schema).withColumn("doc_id", F.expr(f"nullif(doc_id, {NO_ID}L)"))
 
 
@@ -364,8 +417,9 @@ def cut_rows(
         "__digest", F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
     )
     plain = keyed.select(
-        F.col("__id").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), F.col("__digest").alias("digest")
-    )
+        F.col("__id").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), F.col("__digest").alias("digest"),
+        F.lit(0).cast("long").alias("base"),
+    )
     spans = repeated_spans(plain, length, k, True, hot)
     spans = spans.select(F.col("doc_id").alias("__of"), F.col("digest").alias("__its"), F.col("spans").alias("__spans"))
     joined = keyed.join(spans.hint("shuffle_hash"), (F.col("__id") == F.col("__of")) & (F.col("__digest") == F.col("__its")), "left")

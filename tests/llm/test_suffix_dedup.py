@@ -83,6 +83,17 @@ def test_long_texts_go_in_steps(spark, monkeypatch):
         check(spark, [(1, long[:1200] + long[700:]), (2, "x" + long[2500:2620]), (3, long), (4, "short")], keep_first)
 
 
+def test_shorter_repeats_are_noted(spark):
+    rows = corpus(7) + [(None, "null id " * 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for keep_first in (False, True):
+        got = remove_repeats(df, length=24, k=6, keep_first=keep_first, noted=13, noted_k=4).collect()
+        raws, gone = brute(rows, 24, keep_first)
+        _, noted = brute(rows, 13, False)
+        want = [(str(d), bytes(b for j, b in enumerate(raw) if j not in g), len(n)) for (d, _), raw, g, n in zip(rows, raws, gone, noted)]
+        assert sorted((str(r.doc_id), bytes(r.kept), r.n_noted) for r in got) == sorted(want)
+
+
 def test_longest_factors_equal_brute_force():
     rng = np.random.default_rng(9)
     for length, letters in ((3, 2), (24, 2), (24, 4), (40, 1)):
