@@ -3,27 +3,30 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 each as Parquet to the shared folder and reads it again as the next one's
 docs.  All stages but the last return the columns of their input.
+
+Stages that choose rows number them first, so rows with null or repeated ids
+are documents of their own: none is dropped or kept for its id.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagegrain.llm import minhash_dedup, packing, quality_rules, source_mixing, suffix_dedup
-from pagegrain.llm._text import SEPARATORS, written
+from pagegrain.llm._text import written
 from pagegrain.llm.queries import vocabulary_path
 
-#: Joins compare ids null-safely.
-_SAME = "doc_id <=> __id"
+#: Bytes of a passage that suffix-array dedup takes for a copy: about fifty words.
+PASSAGE, PASSAGE_GRAM = 256, 64
 
 
-def _one_row_each(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``ids``; of rows that share an id the first by text."""
-    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), *[F.col(f"`{c}`") for c in docs.columns if c != "text"])
-    named = ids.select(F.col("doc_id").alias("__id"))
-    kept = docs.join(named, docs.doc_id == named["__id"], "left_semi")
-    return kept.withColumn("__turn", F.row_number().over(order)).filter("__turn = 1").drop("__turn")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a row number, written, so that every later reading sees the same ones; and the number's name."""
+    row = "row"
+    while row in docs.columns:
+        row += "_"
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,33 +35,30 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest id.  Null ids stay."""
-    found = minhash_dedup.near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return _one_row_each(docs.filter("doc_id IS NOT NULL"), found).unionByName(docs.filter("doc_id IS NULL"))
+    """One document of each group of near duplicates stays: its first row.  Texts without words stay."""
+    numbered, row = _numbered(docs)
+    found = minhash_dedup.near_duplicates(numbered, id_col=row).filter("kept").select(F.col("doc_id").alias(row))
+    return numbered.join(found.hint("shuffle_hash"), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of long passages go from the texts, whole characters only; n_chars follows."""
-    return suffix_dedup.cut_rows(docs)
+    """Later copies of passages go from the texts, whole characters only; n_chars follows."""
+    return suffix_dedup.cut_rows(docs, length=PASSAGE, k=PASSAGE_GRAM)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; those taken no time go."""
-    taken = source_mixing.mix_sources(docs)
-    taken = taken.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
-    taken = taken.filter("__copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__of"), "__copies", "__rows")
-    size = F.coalesce(F.regexp_count("text", F.lit(f"[^{SEPARATORS}]+")), F.lit(0)).cast("long")
-    sized = docs.withColumn("__size", size)
-    joined = sized.join(taken, F.expr(f"{_SAME} AND source <=> __source AND __size = __of"))
-    order = Window.partitionBy("doc_id", "source", "__size").orderBy("text")
-    share = F.expr("__copies div __rows + IF(__turn <= __copies % __rows, 1, 0)")
-    many = joined.withColumn("__turn", F.row_number().over(order)).withColumn("__n", share).filter("__n > 0")
-    return many.withColumn("__copy", F.explode(F.expr("sequence(1, CAST(__n AS INT))"))).select(*docs.columns)
+    numbered, row = _numbered(docs)
+    taken = source_mixing.mix_sources(numbered, id_col=row).filter("copies > 0")
+    taken = taken.select(F.col("doc_id").alias(f"{row}_of"), F.col("copies").cast("int").alias(f"{row}_copies"))
+    joined = numbered.join(taken.hint("shuffle_hash"), F.col(row) == F.col(f"{row}_of"))
+    many = joined.withColumn(row, F.explode(F.sequence(F.lit(1), F.col(f"{row}_copies"))))
+    return many.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows of 1024 tokens: a row for each piece."""
-    return packing.pack(docs, vocabulary_path("byte_bpe_50k.json"), with_ids=False)
+    """Windows of 1024 tokens: a row for each piece, with its ids."""
+    return packing.pack(docs, vocabulary_path("byte_bpe_50k.json"))
 
 
 STAGES = [
@@ -69,7 +69,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Compression, MinHash and tokenizing are beyond SQL; tests hold run() against brute force.
+#: Compression, MinHash and tokenizing are beyond SQL; tests/llm/test_pipeline.py holds run() against brute force.
 ORACLE_SQL = None
 
 
