@@ -20,6 +20,17 @@ SEPARATORS = r"\x20\x09-\x0D"
 SLICE_BYTES = 2 << 20
 
 
+#: Bytes of an Arrow batch between executors and Python workers; Spark's own default lets a worker hold many times that.
+BATCH_BYTES = 5 << 20
+BATCH_SETTING, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches of long texts small, unless the session has a limit of its own."""
+    if spark.conf.get(BATCH_SETTING, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.  Where none is set, local mode takes a temporary one; a cluster raises."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -39,6 +50,7 @@ def written(df: DataFrame, label: str = "table") -> DataFrame:
     The files are compressed and columnar, so later steps read only what they use.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_folder(spark)}/pagegrain/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -78,6 +90,7 @@ def join_salted(left: DataFrame, right: DataFrame, keys: list[str], count: str,
 
 def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator reads, under fixed names; extra columns never clash."""
+    bounded_batches(df.sparkSession)
     return df.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),

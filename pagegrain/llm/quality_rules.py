@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import id_text, slices
+from ._text import bounded_batches, id_text, slices
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SYMBOLS = "#*$%&|<>"
@@ -141,6 +141,8 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", level
 
 def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns; the verdict is a column of each row, so nothing is joined."""
+    bounded_batches(docs.sparkSession)
+
     @F.pandas_udf("boolean")
     def passes(texts: pd.Series) -> pd.Series:
         import zstandard
