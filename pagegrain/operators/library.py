@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,8 +35,12 @@ def to_entity(scores: DataFrame) -> DataFrame:
     return scores.select(*[F.col(n).cast(f.dataType).alias(f.name) for f, n in zip(SCHEMA, DOMAIN)])
 
 
+def newest() -> list[Column]:
+    return [F.desc("import_date"), F.col("id").asc()]
+
+
 def newest_first(scores: DataFrame) -> DataFrame:
-    return scores.orderBy(F.desc("import_date"), "id")
+    return scores.orderBy(*newest())
 
 
 def by_id(scores: DataFrame, score_id: int) -> DataFrame:
@@ -59,9 +63,18 @@ SORTS = {
 }
 
 
+def view_order(sort: str) -> list[Column]:
+    """Favourites first in the given order; ties by newest import, then id."""
+    return [F.desc("is_favorite"), *SORTS[sort](), *newest()]
+
+
 def library_view(scores: DataFrame, query: str = "", sort: str = "DATE_IMPORTED") -> DataFrame:
-    """Search, then favourites first in the given order; ties by newest import, then id."""
-    return search(scores, query).orderBy(F.desc("is_favorite"), *SORTS[sort](), F.desc("import_date"), "id")
+    return search(scores, query).orderBy(*view_order(sort))
+
+
+def placed(scores: DataFrame, order: list[Column], within: str) -> DataFrame:
+    """Adds place: where a row stands in the order among the rows that share ``within``, from 1."""
+    return scores.withColumn("place", F.row_number().over(Window.partitionBy(within).orderBy(*order)))
 
 
 def library_is_empty(scores: DataFrame) -> DataFrame:

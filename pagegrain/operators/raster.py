@@ -1,8 +1,14 @@
-"""Raster operators on pixel rows (page_id, y, x): morphology by windows, runs in strips, region statistics."""
+"""Raster operators on bands (page_id, y, data): a row of pixels is an array, so no pixel is a row of its own.
+
+Masks hold 0 and 1.  Morphology along a row works inside the array, along the
+columns on the arrays of neighbouring rows, both on Arrow batches of rows.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -11,49 +17,85 @@ from ..functions import scalars as S
 SPLIT_UNIT = 11
 
 
-def full_grid(pixels: DataFrame, sizes: DataFrame) -> DataFrame:
-    """page_id, y, x, on for every pixel of pages (page_id, width, height), on where ``pixels`` has a row."""
-    grid = sizes.select("page_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("height") - 1)).alias("y"), "width")
-    grid = grid.select("page_id", "y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("width") - 1)).alias("x"))
-    marked = pixels.select("page_id", "y", "x", F.lit(1).alias("hit")).distinct()
-    return grid.join(marked, ["page_id", "y", "x"], "left").select("page_id", "y", "x", F.coalesce("hit", F.lit(0)).alias("on"))
+def bands(pixels: DataFrame, sizes: DataFrame) -> DataFrame:
+    """page_id, y, data of every row of pages (page_id, width, height), on where ``pixels`` (page_id, y, x) has a row."""
+    rows = pixels.groupBy("page_id", "y").agg(F.array_sort(F.collect_set("x")).alias("xs"))
+    every = sizes.select("page_id", "width", F.explode(F.sequence(F.lit(0).cast("long"), F.col("height") - 1)).alias("y"))
+    joined = every.join(rows, ["page_id", "y"], "left").withColumn("xs", F.coalesce("xs", F.expr("CAST(array() AS array<bigint>)")))
+    # the gaps before each pixel and after the last one, as runs of zeros
+    runs = F.expr("transform(xs, (x, i) -> concat(array_repeat(0, CAST(x - IF(i = 0, -1, xs[i - 1]) - 1 AS INT)), array(1)))")
+    rest = F.expr("array_repeat(0, CAST(width - 1 - IF(size(xs) = 0, -1, xs[size(xs) - 1]) AS INT))")
+    return joined.select("page_id", "y", F.concat(F.flatten(runs), rest).alias("data"))
+
+
+def pixels(masks: DataFrame) -> DataFrame:
+    """page_id, y, x of the pixels that are on."""
+    return masks.select("page_id", "y", F.posexplode("data").alias("x", "on")).filter("on > 0").select("page_id", "y", F.col("x").cast("long").alias("x"))
+
+
+def _beside(kind: str, before: int, after: int):
+    """Any or all of the pixels beside each one of a row, as a column function of the row."""
+    pick, edge = {"dilate": (np.max, 0), "erode": (np.min, 1)}[kind]
+
+    @F.pandas_udf("array<int>")
+    def near(rows: pd.Series) -> pd.Series:
+        told = [np.lib.stride_tricks.sliding_window_view(np.pad(r, (before, after), constant_values=edge), before + after + 1) for r in rows]
+        return pd.Series([pick(t, axis=1).astype(np.int32) for t in told])
+
+    return near
+
+
+def _above(kind: str):
+    """Any or all of a row and its neighbours (null beyond the page), as a column function of an array of rows."""
+    pick = {"dilate": np.max, "erode": np.min}[kind]
+
+    @F.pandas_udf("array<int>")
+    def near(rows: pd.Series) -> pd.Series:
+        return pd.Series([pick(np.stack([r for r in some if r is not None]), axis=0).astype(np.int32) for some in rows])
+
+    return near
 
 
-def morphology(grid: DataFrame, axis: str, kind: str, size: int = 6) -> DataFrame:
-    """Dilate (any) or erode (all) ``on`` along y or x over size pixels, size // 2 of them before; outside never decides."""
-    across = "x" if axis == "y" else "y"
-    span = Window.partitionBy("page_id", across).orderBy(axis).rangeBetween(-(size // 2), size - size // 2 - 1)
-    pick = {"dilate": F.max, "erode": F.min}[kind]
-    return grid.select("page_id", "y", "x", pick("on").over(span).alias("on"))
+def morphology(masks: DataFrame, axis: str, kind: str, size: int = 6) -> DataFrame:
+    """Dilate (any) or erode (all) along y or x over size pixels, size // 2 of them before; outside never decides."""
+    before, after = size // 2, size - size // 2 - 1
+    if axis == "x":
+        return masks.select("page_id", "y", _beside(kind, before, after)("data").alias("data"))
+    order = Window.partitionBy("page_id").orderBy("y")
+    rows = [F.lag("data", k).over(order) for k in range(1, before + 1)] + [F.lead("data", k).over(order) for k in range(1, after + 1)]
+    near = masks.select("page_id", "y", F.array("data", *rows).alias("rows"))
+    return near.select("page_id", "y", _above(kind)("rows").alias("data"))
 
 
-def thicken(grid: DataFrame) -> DataFrame:
+def thicken(masks: DataFrame) -> DataFrame:
     """Dilate down the columns, then open along the rows."""
-    return morphology(morphology(morphology(grid, "y", "dilate"), "x", "erode"), "x", "dilate")
+    return morphology(morphology(morphology(masks, "y", "dilate"), "x", "erode"), "x", "dilate")
 
 
-def strip_grids(grid: DataFrame, unit: int = SPLIT_UNIT) -> DataFrame:
+def strip_grids(masks: DataFrame, unit: int = SPLIT_UNIT) -> DataFrame:
     """page_id, id, left, top, right, bottom (half open) of short runs of rows that are on in a strip.
 
     A strip's row is on with more than unit // 2 pixels; ids go strip by strip, then down.
     """
-    rows = grid.groupBy("page_id", F.expr(f"x div {unit}").alias("strip"), "y").agg(
-        (F.sum("on") > unit // 2).alias("on"), F.min("x").alias("left"), (F.max("x") + 1).alias("right")
+    strips = F.expr(
+        f"transform(sequence(0, (size(data) - 1) div {unit}), s -> named_struct('left', s * {unit}, 'right', least((s + 1) * {unit}, size(data)), "
+        f"'on', aggregate(slice(data, s * {unit} + 1, {unit}), 0, (a, v) -> a + v) > {unit // 2}))"
     )
-    by = Window.partitionBy("page_id", "strip")
-    change = F.coalesce((F.col("on") != F.lag("on").over(by.orderBy("y"))).cast("int"), F.lit(0))
-    rows = rows.withColumn("change", change).withColumn("run", F.sum("change").over(by.orderBy("y")))
-    runs = rows.filter("on").groupBy("page_id", "strip", "run").agg(
-        F.min("left").alias("left"), F.min("y").alias("top"), F.max("right").alias("right"), (F.max("y") + 1).alias("bottom")
+    rows = masks.filter(F.size("data") > 0).select("page_id", "y", F.posexplode(strips).alias("strip", "s")).select("page_id", "y", "strip", "s.*")
+    # rows that are on and follow each other share y - rank
+    on = rows.filter("on")
+    run = F.col("y") - F.row_number().over(Window.partitionBy("page_id", "strip").orderBy("y"))
+    runs = on.withColumn("run", run).groupBy("page_id", "strip", "run").agg(
+        F.min("left").cast("long").alias("left"), F.min("y").alias("top"), F.max("right").cast("long").alias("right"), (F.max("y") + 1).alias("bottom")
     )
     short = runs.filter(F.col("bottom") - F.col("top") < unit)
     number = F.row_number().over(Window.partitionBy("page_id").orderBy("strip", "top")) - 1
     return short.select("page_id", number.alias("id"), "left", "top", "right", "bottom")
 
 
-def region_members(labelled: DataFrame) -> DataFrame:
-    """page_id, region, grid_ids: the sorted distinct grids of each region of pixels (page_id, y, x, region, grid_id)."""
-    return labelled.filter("region > 0 AND grid_id >= 0").groupBy("page_id", "region").agg(F.sort_array(F.collect_set("grid_id")).alias("grid_ids"))
+def region_members(regions: DataFrame) -> DataFrame:
+    """page_id, region, grid_ids: the sorted grids (page_id, id, region) of each region."""
+    return regions.groupBy("page_id", "region").agg(F.sort_array(F.collect_set("id")).alias("grid_ids"))
 
 
 def region_groups(members: DataFrame, grids: DataFrame) -> DataFrame:
@@ -66,9 +108,10 @@ def region_groups(members: DataFrame, grids: DataFrame) -> DataFrame:
     return boxed.select("page_id", (F.row_number().over(order) - 1).alias("id"), "left", "top", "right", "bottom", "grid_ids")
 
 
-def majority(labels: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """The most frequent label for the keys, the lowest on ties."""
-    return labels.groupBy(*keys).agg(F.mode(label, True).alias(label))
+def majority(labels: DataFrame, keys: list[str], label: str, where: Column | None = None) -> DataFrame:
+    """The most frequent label for the keys among the rows of ``where``, the lowest on ties; null where there is none."""
+    mine = F.col(label) if where is None else F.when(where, F.col(label))
+    return labels.groupBy(*keys).agg(F.mode(mine, True).alias(label))
 
 
 def control_points(regions: DataFrame, sizes: DataFrame, ratio: float = 0.4, period: int = 10) -> DataFrame:

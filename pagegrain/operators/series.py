@@ -23,11 +23,26 @@ def dense(sparse: DataFrame) -> DataFrame:
     return spine.join(sparse, ["series_id", "i"], "left").select("series_id", "i", F.coalesce("v", F.lit(0)).cast("double").alias("v"))
 
 
+def in_zone(pixels: DataFrame, zones: DataFrame) -> DataFrame:
+    """Pixels (page_id, y, x) in their page's columns from zone_left up to zone_right."""
+    inside = pixels.join(zones.select("page_id", "zone_left", "zone_right"), "page_id")
+    return inside.filter("x >= zone_left AND x < zone_right").select("page_id", "y", "x")
+
+
+def zone_density(pixels: DataFrame, zones: DataFrame) -> DataFrame:
+    """A series for each zone (page_id, zone_left, zone_right, height): its pixels that are on in every row of the page."""
+    counts = in_zone(pixels, zones).groupBy("page_id", "y").agg(F.countDistinct("x").alias("n"))
+    rows = zones.select("page_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("height") - 1)).alias("y"))
+    joined = rows.join(counts, ["page_id", "y"], "left")
+    return joined.select(F.col("page_id").alias("series_id"), F.col("y").alias("i"), F.coalesce("n", F.lit(0)).cast("double").alias("v"))
+
+
 def z_scores(series: DataFrame) -> DataFrame:
     """v becomes its z-score (population deviation, single precision); a constant series gives no rows."""
-    deviation = F.stddev_pop("v").over(_by())
-    z = (F.col("v") - F.avg("v").over(_by())) / F.nullif(deviation, F.lit(0.0))
-    return series.select("series_id", "i", z.cast("float").cast("double").alias("v")).filter("v IS NOT NULL")
+    # a row a series is joined back, so a long series' samples stay where they are
+    told = series.groupBy("series_id").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("deviation")).filter("deviation > 0")
+    z = (F.col("v") - F.col("mean")) / F.col("deviation")
+    return series.join(told, "series_id").select("series_id", "i", z.cast("float").cast("double").alias("v")).filter("v IS NOT NULL")
 
 
 def local_maxima(series: DataFrame) -> DataFrame:

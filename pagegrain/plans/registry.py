@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import dewarp as W
 from ..operators import geometry as G
 from ..operators import library as L
-from ..operators import pages as P
 from ..operators import raster as R
 from ..operators import series as Z
 from ..operators import tiles as T
@@ -32,7 +32,8 @@ def _r(column, digits=4):
 
 @query
 def lib_get_all(spark, d):
-    return L.newest_first(D.library(spark, d)).select("id", "title", "import_date", "is_favorite")
+    scores = L.placed(D.library(spark, d), L.newest(), "page_count")
+    return L.newest_first(scores).select("id", "title", "import_date", "is_favorite", "place")
 
 
 @query
@@ -47,17 +48,19 @@ def lib_by_id(spark, d):
 
 @query
 def lib_favorites(spark, d):
-    return L.favorites(D.library(spark, d)).select("id", "title")
+    return L.favorites(L.placed(D.library(spark, d), L.view_order("DATE_IMPORTED"), "page_count")).select("id", "title", "place")
 
 
 @query
 def lib_search_name(spark, d):
-    return L.library_view(D.library(spark, d), "A", "NAME").select("id", "title", "is_favorite")
+    found = L.library_view(D.library(spark, d), "A", "NAME")
+    return L.placed(found, L.view_order("NAME"), "page_count").select("id", "title", "is_favorite", "place")
 
 
 @query
 def lib_search_recent(spark, d):
-    return L.library_view(D.library(spark, d), " ", "RECENTLY_PRACTICED").select("id", "last_opened_date")
+    found = L.library_view(D.library(spark, d), " ", "RECENTLY_PRACTICED")
+    return L.placed(found, L.view_order("RECENTLY_PRACTICED"), "page_count").select("id", "last_opened_date", "place")
 
 
 @query
@@ -95,11 +98,14 @@ def lib_changed_views(spark, d):
 @query
 def import_outcomes(spark, d):
     files = D.table(spark, d, "pages").select(
-        F.col("page_id").alias("file_id"), F.element_at(F.split(F.regexp_replace("url", r"[?#].*$", ""), "/"), 4).alias("lang"), "url"
+        F.col("page_id").alias("file_id"), F.element_at(F.split(F.regexp_replace("url", r"[?#].*$", ""), "/"), 4).alias("lang"), "html"
     )
-    path = F.concat(F.lit("in/"), F.coalesce("lang", F.lit("x")), F.when(F.col("file_id") % 3 == 0, ".PDF").when(F.col("file_id") % 3 == 1, ".jpg").otherwise(".txt"))
-    files = files.select("file_id", path.alias("path"), F.when(F.col("file_id") % 5 == 0, "image/png").alias("mime"))
-    taken = files.filter("file_id % 50 = 0").select(F.lit("en.PDF").alias("file")).distinct()
+    kind = F.when(F.col("file_id") % 3 == 0, ".PDF").when(F.col("file_id") % 3 == 1, ".jpg").otherwise(".txt")
+    number = F.when(F.col("file_id") % 7 == 0, F.concat(F.lit(" ("), F.col("file_id") % 4, F.lit(")"))).otherwise("")
+    path = F.concat(F.lit("in/"), F.coalesce("lang", F.lit("x")), number, kind)
+    content = F.encode(F.concat(F.repeat(F.lit("/Type /Page "), (F.col("file_id") % 4).cast("int")), "html"), "UTF-8")
+    files = files.select("file_id", path.alias("path"), F.when(F.col("file_id") % 5 == 0, "image/png").alias("mime"), content.alias("content"))
+    taken = files.filter("file_id % 50 = 0").select(F.explode(F.array(F.lit("en.PDF"), F.lit("en (2).PDF"), F.lit("de (1).jpg"))).alias("file")).distinct()
     return I.plan_imports(files, taken, 1700000000000).select("file_id", "status", "title", "original_file_path", "page_count")
 
 
@@ -181,6 +187,17 @@ def staff_sizes(spark, d):
     return Z.staff_sizes(found).select("series_id", "staff", _r("y_centre").alias("y_centre"), _r("unit_size").alias("unit_size"))
 
 
+@query
+def zone_lines(spark, d):
+    """The flagship chain from a mask and a zone: columns 100 to 619 of each page."""
+    zones = D.staff_sizes(spark, d).select("page_id", F.lit(100).cast("long").alias("zone_left"), F.lit(620).cast("long").alias("zone_right"), "height")
+    pixels = Z.in_zone(D.staff_pixels(spark, d), zones)
+    found = Z.five_line_groups(Z.zone_density(pixels, zones)).select("series_id", "staff", "i", "unit")
+    found = Z.assign_pixels(found, pixels.select(F.col("page_id").alias("series_id"), "y", "x"), 100)
+    return found.select("series_id", "staff", "position", "n", "x_min", "x_max", _r("x_centre").alias("x_centre"), "y_min", "y_max",
+                        _r("y_centre").alias("y_centre"), _r("slope", 6).alias("slope"))
+
+
 # tiles
 
 
@@ -201,7 +218,7 @@ def target_sizes(spark, d):
 
 @query
 def merge_overlap(spark, d):
-    return T.merge_tiles(D.tiles(spark, d)).select("page_id", "y", "x", "channel", _r("v", 5).alias("v"))
+    return T.pixel_values(T.merge_tiles(D.tiles(spark, d))).select("page_id", "y", "x", "channel", _r("v", 5).alias("v"))
 
 
 @query
@@ -212,71 +229,104 @@ def page_extents(spark, d):
 @query
 def class_masks(spark, d):
     merged = T.merge_tiles(D.tiles(spark, d))
-    first = T.classes(merged.filter("channel < 3"))
-    return T.class_masks(first, T.classes(merged))
+    return T.mask_pixels(T.class_masks(T.classes(T.first_channels(merged, 3)), T.classes(merged)))
+
+
+def _ink_scorer(channels):
+    """Stands in for a model: ink is class 1 (of three channels) or 2 (of four), all else background."""
+
+    def make():
+        import numpy as np
+
+        return lambda pixels: np.eye(channels, dtype=np.float32)[(pixels[..., 0] > 0) * (channels - 2)]
+
+    return make
+
+
+@query
+def scored_pages(spark, d):
+    """Pages cut into tiles, scored, merged and turned into masks."""
+    sizes = D.staff_sizes(spark, d)
+    masks = T.score_pages(_bands(spark, d), sizes, {name: _ink_scorer(m["channels"]) for name, m in T.MODELS.items()})
+    return T.mask_pixels(masks).filter("staff OR noteheads OR symbols OR stems_rests OR clefs_keys")
 
 
 @query
 def align_bands(spark, d):
     bands = D.table(spark, d, "embeddings").select(
-        F.expr("CAST(vec_id div 100 AS STRING)").alias("page_id"), F.expr("vec_id % 100").alias("y"), F.slice("embedding", 1, 6).alias("data")
+        F.expr("CAST(vec_id div 100 AS STRING)").alias("page_id"), F.expr("vec_id % 100").alias("y"), F.col("embedding").alias("data")
     )
-    grown = T.align_bands(bands, F.lit(9).cast("long"), F.lit(103).cast("long"))
+    grown = T.align_bands(bands, F.lit(67).cast("long"), F.lit(103).cast("long"))
     return grown.select("page_id", "y", F.posexplode("data").alias("x", "v")).select("page_id", "y", "x", _r(F.col("v").cast("double"), 5).alias("v"))
 
 
 # raster
 
 
-def _grid(spark, d):
-    return R.full_grid(D.raster(spark, d), D.raster_sizes(spark, d))
+def _bands(spark, d):
+    return R.bands(D.staff_pixels(spark, d), D.staff_sizes(spark, d))
+
+
+def _grids(spark, d):
+    return R.strip_grids(R.thicken(_bands(spark, d)))
 
 
 @query
 def raster_dilate(spark, d):
-    return R.morphology(_grid(spark, d), "y", "dilate").filter("on = 1").drop("on")
+    return R.pixels(R.morphology(_bands(spark, d), "y", "dilate"))
 
 
 @query
 def raster_thicken(spark, d):
-    return R.thicken(_grid(spark, d)).filter("on = 1").drop("on")
+    return R.pixels(R.thicken(_bands(spark, d)))
 
 
 @query
 def raster_grids(spark, d):
-    return R.strip_grids(R.morphology(_grid(spark, d), "y", "dilate"))
+    return _grids(spark, d)
 
 
 @query
 def raster_regions(spark, d):
-    return P.label_pages(D.raster(spark, d), D.raster_sizes(spark, d)).filter("region > 0")
-
-
-def _regions_with_grids(spark, d):
-    grids = R.strip_grids(R.morphology(_grid(spark, d), "y", "dilate"))
-    pixels = grids.select("page_id", "id", F.explode(F.sequence("top", F.col("bottom") - 1)).alias("y"), "left", "right")
-    pixels = pixels.select("page_id", F.col("id").alias("grid_id"), "y", F.explode(F.sequence("left", F.col("right") - 1)).alias("x"))
-    regions = P.label_pages(pixels.select("page_id", "y", "x"), D.raster_sizes(spark, d))
-    return grids, regions.join(pixels, ["page_id", "y", "x"])
+    return W.pixel_regions(D.raster(spark, d))
 
 
 @query
 def raster_groups(spark, d):
-    grids, regions = _regions_with_grids(spark, d)
-    groups = R.region_groups(R.region_members(regions), grids)
+    grids = _grids(spark, d)
+    groups = R.region_groups(R.region_members(W.box_regions(grids)), grids)
     return groups.select("page_id", "id", "left", "top", "right", "bottom", F.array_join("grid_ids", ",").alias("grid_ids"))
 
 
+@query
+def raster_bridges(spark, d):
+    """All boxes after bridging; the walk is sequential and beyond SQL."""
+    grids = _grids(spark, d)
+    return W.bridge(grids, R.region_groups(R.region_members(W.box_regions(grids)), grids))
+
+
 @query
 def raster_majority(spark, d):
     labels = D.raster(spark, d).select("page_id", F.expr("y div 10").alias("block"), (F.col("x") % 7).alias("label"))
     return R.majority(labels, ["page_id", "block"], "label")
 
 
+def _points(spark, d):
+    grids = _grids(spark, d)
+    sizes = D.staff_sizes(spark, d)
+    return R.control_points(W.region_pixels(grids, W.box_regions(grids), sizes), sizes)
+
+
 @query
 def mapping_points(spark, d):
-    _, regions = _regions_with_grids(spark, d)
-    return R.control_points(regions.select("page_id", "region", "y", "x"), D.raster_sizes(spark, d), 0.05)
+    return _points(spark, d)
+
+
+@query
+def row_maps(spark, d):
+    """The fractional source row of every twelfth column, from control points."""
+    rows = W.row_map(_points(spark, d), D.staff_sizes(spark, d))
+    return rows.select("page_id", "y", F.posexplode("source").alias("x", "v")).filter("x % 12 = 5").select("page_id", "y", "x", _r("v").alias("v"))
 
 
 # geometry
@@ -315,9 +365,9 @@ def remap_mask(spark, d):
 
 @query
 def straightened_pages(spark, d):
-    """The whole page chain on the raster; sequential parts are beyond SQL."""
-    bands = _grid(spark, d).groupBy("page_id", "y").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "on"))), lambda s: s["on"].cast("float")).alias("data"))
-    out = P.straighten_pages(bands.select("page_id", F.lit("staff").alias("layer"), "y", "data"))
+    """The whole page chain on the staff pages; bridging is beyond SQL."""
+    bands = _bands(spark, d).select("page_id", F.lit("staff").alias("layer"), "y", F.col("data").cast("array<double>").alias("data"))
+    out = W.straighten(bands, D.staff_sizes(spark, d))
     return out.select("page_id", "layer", "y", F.expr("CAST(aggregate(data, 0D, (a, v) -> a + v) AS BIGINT)").alias("on_pixels"), "was_dewarped")
 
 

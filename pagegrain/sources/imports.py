@@ -2,53 +2,63 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import scalars as S
 
 
+def _numbered(names: DataFrame) -> DataFrame:
+    """clean, number of every name (file) that is another one with `` (number)`` before its suffix."""
+    base, suffix = S.split_name(F.col("file"))
+    told = names.select(base.alias("base"), suffix.alias("suffix"))
+    number = F.regexp_extract("base", r"^.* \(([1-9][0-9]{0,8})\)$", 1)
+    told = told.filter(number != "").select(F.concat(F.regexp_replace("base", r" \([1-9][0-9]{0,8}\)$", ""), "suffix").alias("clean"), number.cast("long").alias("number"))
+    return told.distinct()
+
+
 def free_names(names: DataFrame, taken: DataFrame) -> DataFrame:
-    """file_id, name and the free ``file`` for it: `` (1)``, `` (2)`` … before the last dot.
+    """file_id, name and the free ``file`` for it: `` (1)``, `` (2)`` ... before the last dot.
 
-    Names are sanitised first.  Files of one sanitised name get places in order
-    of file_id: the name itself if free, then the numbers that are free.  Numbers already used by
-    ``taken`` (file) are skipped by counting the free ones up to each place.
+    Names are sanitised first.  Of the files of one sanitised name the first by
+    file_id keeps it, unless it is taken; the others get the numbers whose
+    names neither ``taken`` (file) nor any file of the batch has, in order.
+    The k-th free number is k plus how many used ones have under k free ones
+    before them, so one running count over a name's files and used numbers
+    finds all of them.
     """
     clean = names.select("file_id", "name", S.sanitised(F.col("name")).alias("clean"))
+    stored = taken.select("file").distinct()
+    used = _numbered(stored.union(clean.select("clean")))
+    before = F.row_number().over(Window.partitionBy("clean").orderBy("number"))
+    used = used.select("clean", (F.col("number") - before).alias("key"), F.lit(1).alias("used"))
+    own = stored.select(F.col("file").alias("clean"), F.lit(1).alias("own"))
+    place = F.row_number().over(Window.partitionBy("clean").orderBy("file_id")) - F.when(F.col("own").isNull(), 1).otherwise(0)
+    rows = clean.join(own, "clean", "left").select("clean", place.cast("long").alias("key"), F.lit(0).alias("used"), "file_id", "name")
+    # at equal keys a file comes before a used number: as many free ones as it asks for lie below
+    count = F.sum("used").over(Window.partitionBy("clean").orderBy("key", "used").rowsBetween(Window.unboundedPreceding, 0))
+    number = F.col("key") + F.when(F.col("key") > 0, count).otherwise(0)
+    chosen = rows.unionByName(used, allowMissingColumns=True).withColumn("number", number).filter("used = 0")
     base, suffix = S.split_name(F.col("clean"))
-    clean = clean.withColumn("base", base).withColumn("suffix", suffix)
-    place = F.row_number().over(Window.partitionBy("clean").orderBy("file_id"))
-    clean = clean.withColumn("place", place)
-    group = clean.groupBy("clean", "base", "suffix").agg(F.count("*").alias("n"))
-    used = taken.select("file").distinct()
-    used_base, used_suffix = S.split_name(F.col("file"))
-    number = F.regexp_extract(used_base, r"^.* \(([1-9][0-9]{0,8})\)$", 1)
-    numbered = used.select(
-        F.regexp_replace(used_base, r" \([1-9][0-9]{0,8}\)$", "").alias("base"), used_suffix.alias("suffix"),
-        F.when(number != "", number.cast("long")).alias("number"),
-    ).filter("number IS NOT NULL")
-    own = used.select(F.col("file").alias("clean"), F.lit(1).alias("own"))
-    by_group = group.join(own, "clean", "left").join(
-        numbered.groupBy("base", "suffix").agg(F.collect_set("number").alias("numbers")), ["base", "suffix"], "left"
-    )
-    numbers = F.coalesce("numbers", F.expr("CAST(array() AS array<bigint>)"))
-    options = F.array_except(F.sequence(F.when(F.col("own").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("long"), F.col("n") + F.size(numbers)), numbers)
-    by_group = by_group.select("clean", options.alias("options"))
-    chosen = clean.join(by_group, "clean").withColumn("number", F.element_at("options", F.col("place").cast("int")))
-    file = F.when(F.col("number") == 0, F.col("clean")).otherwise(F.concat("base", F.lit(" ("), F.col("number").cast("string"), F.lit(")"), "suffix"))
+    file = F.when(F.col("number") == 0, F.col("clean")).otherwise(F.concat(base, F.lit(" ("), F.col("number").cast("string"), F.lit(")"), suffix))
     return chosen.select("file_id", "name", file.alias("file"))
 
 
-@F.pandas_udf(T.IntegerType())
-def page_count(contents: pd.Series) -> pd.Series:
-    """Page objects named in a PDF's plain text; 1 where none can be seen, as for a file that cannot be read."""
-    import re
+def page_count(content: Column) -> Column:
+    """Page objects named in a PDF's plain bytes; 1 where none can be seen, as for a file that cannot be read."""
+    seen = F.regexp_count(F.decode(content, "ISO-8859-1"), F.lit(r"/Type\s*/Page(?![A-Za-z])"))
+    return F.greatest(F.lit(1), F.coalesce(seen, F.lit(0)))
 
-    page = re.compile(rb"/Type\s*/Page(?![A-Za-z])")
-    return contents.map(lambda raw: max(1, len(page.findall(raw or b"")))).astype("int32")
+
+def copy_files(files: DataFrame, outcomes: DataFrame, folder: str) -> DataFrame:
+    """Keeps the accepted files' bytes: appends (path, content) to the Parquet table ``folder``; returns path and bytes of each.
+
+    A file that could not be read (null content) raises.
+    """
+    chosen = outcomes.filter("status = 'Success'").select("file_id", F.col("original_file_path").alias("path"))
+    readable = F.assert_true(F.col("content").isNotNull(), F.lit("a file could not be read")).isNull()
+    files.select("file_id", "content").join(chosen, "file_id").filter(readable).select("path", "content").write.mode("append").parquet(folder)
+    return files.sparkSession.read.parquet(folder).select("path", F.length("content").cast("long").alias("bytes"))
 
 
 def plan_imports(files: DataFrame, taken: DataFrame, now: int, folder: str = "scores") -> DataFrame:
@@ -56,7 +66,7 @@ def plan_imports(files: DataFrame, taken: DataFrame, now: int, folder: str = "sc
     named = files.withColumn("name", S.display_name(F.col("path")))
     ok = S.accepted(F.col("mime"), F.col("name"))
     names = free_names(named.filter(ok).select("file_id", F.coalesce("name", F.lit(f"score_{now}")).alias("name")), taken)
-    pages = F.when(S.is_pdf(F.col("mime"), F.col("name")), page_count("content")).otherwise(1) if "content" in files.columns else F.lit(1)
+    pages = F.when(S.is_pdf(F.col("mime"), F.col("name")), page_count(F.col("content"))).otherwise(1) if "content" in files.columns else F.lit(1)
     joined = named.drop("name").withColumn("name", S.display_name(F.col("path"))).join(names.select("file_id", "file"), "file_id", "left")
     done = F.col("file").isNotNull()
     return joined.select(

@@ -62,3 +62,32 @@ def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         F.expr("CAST(vec_id div 100 AS STRING)").alias("page_id"), F.expr("CAST(vec_id % 100 AS BIGINT)").alias("y"), F.col("x").cast("long").alias("x"), "v"
     )
+
+
+#: Size of a page of staff lines.
+STAFF_WIDTH, STAFF_HEIGHT = 720, 280
+
+
+def staff_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Horizontal segments (page_id, y, x, length): three staffs of five lines on a page for each 150 customers.
+
+    Ten customers draw a line, a segment for each of their orders; lines drop
+    by a pixel every 240 and have gaps.
+    """
+    orders = table(spark, sf_dir, "orders").select(
+        F.expr("CAST(o_custkey div 150 AS STRING)").alias("page_id"), F.expr("o_custkey % 150 div 10").alias("slot"),
+        F.expr("o_orderkey * 37 % 690").alias("x"), F.expr("4 + o_orderkey % 27").alias("length"),
+    )
+    y = F.expr("10 + slot div 5 * 90 + slot % 5 * 12 + x div 240")
+    return orders.select("page_id", y.cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("length").cast("long").alias("length"))
+
+
+def staff_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, y, x of every pixel of the segments."""
+    drawn = staff_segments(spark, sf_dir).select("page_id", "y", F.explode(F.expr("sequence(x, x + length - 1)")).alias("x"))
+    return drawn.distinct()
+
+
+def staff_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = staff_segments(spark, sf_dir).select("page_id").distinct()
+    return pages.select("page_id", F.lit(STAFF_WIDTH).cast("long").alias("width"), F.lit(STAFF_HEIGHT).cast("long").alias("height"))
