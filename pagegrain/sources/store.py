@@ -12,7 +12,8 @@ class ScoreStore:
     """Snapshots ``v=<n>`` in a folder that all executors see; the highest complete one counts.
 
     A snapshot is complete when Spark's success marker is there, so readers
-    never see half a write and a failed write changes nothing.
+    never see half a write and a failed write changes nothing.  Two writers
+    never write one version.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -35,9 +36,21 @@ class ScoreStore:
             return self.spark.createDataFrame([], L.SCHEMA)
         return self.spark.read.schema(L.SCHEMA).parquet(f"{self.folder}/v={version}")
 
-    def write(self, scores: DataFrame) -> int:
-        version = self.version() + 1
-        scores.select(*L.SCHEMA.names).write.mode("overwrite").parquet(f"{self.folder}/v={version}")
+    def write(self, scores: DataFrame, after: int | None = None) -> int:
+        """The next snapshot; raises if another writer has claimed it, since ``scores`` then lacks that writer's change.
+
+        A claim is a file that can be created once.  ``after`` is the version
+        that ``scores`` was made from, if a newer one may have come since.
+        """
+        version = (self.version() if after is None else after) + 1
+        claim = f"{self.folder}/_claims/{version}"
+        if not self._fs.createNewFile(self._path(claim)):
+            raise RuntimeError(f"another writer has claimed version {version}")
+        try:
+            scores.select(*L.SCHEMA.names).write.mode("overwrite").parquet(f"{self.folder}/v={version}")
+        except BaseException:
+            self._fs.delete(self._path(claim), False)
+            raise
         return version
 
     def insert(self, rows: DataFrame) -> int:

@@ -10,19 +10,42 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
-def live_view(spark: SparkSession, folder: str, schema, plan: Callable[[DataFrame], DataFrame], emit: Callable[[DataFrame, int], None], checkpoint: str):
+def live_view(
+    spark: SparkSession,
+    folder: str,
+    schema,
+    plan: Callable[[DataFrame], DataFrame],
+    emit: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    read: Callable[[], DataFrame] | None = None,
+):
     """Watches a folder of Parquet files; whenever files come, ``plan`` runs over all that is stored and ``emit`` gets the result.
 
-    ``plan`` may read parameters when it is called, so each emission combines the latest of all.
+    What is stored is the folder's files, or what ``read`` gives: over a
+    ``ScoreStore``, whose folder holds one snapshot beside the other, pass the
+    store's ``read``, which is the newest.  ``plan`` may read parameters when it
+    is called, so each emission combines the latest of all.
     """
+    stored = read or (lambda: spark.read.schema(schema).parquet(folder))
 
     def batch(_: DataFrame, number: int) -> None:
-        emit(plan(spark.read.schema(schema).parquet(folder)), number)
+        emit(plan(stored()), number)
 
-    arrivals = spark.readStream.schema(schema).parquet(folder)
+    arrivals = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(folder)
     return arrivals.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def append_events(events: DataFrame, folder: str) -> None:
+    """Adds events to an append-only log, a folder of Parquet files."""
+    events.write.mode("append").parquet(folder)
+
+
+def new_events(spark: SparkSession, folder: str, schema, emit: Callable[[DataFrame, int], None], checkpoint: str):
+    """Gives each event of the log to ``emit`` once: what came since the checkpoint's last run."""
+    log = spark.readStream.schema(schema).parquet(folder)
+    return log.writeStream.foreachBatch(emit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def changes(snapshots: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """Rows whose value differs from the one before it with the same keys; the first always stays."""
     by = Window.partitionBy(*keys).orderBy(*order)

@@ -8,6 +8,7 @@ from pagegrain.operators import dewarp, geometry, raster, series, tiles
 from pagegrain.operators import library as L
 from pagegrain.sources import imports
 from pagegrain.sources.store import ScoreStore
+from pagegrain.streaming import views
 
 SF = "/root/testdata/sf0.001"
 NAMES = [n for n in entry.oracle_sql() if not n.startswith("op")]
@@ -178,6 +179,31 @@ def test_store(spark, tmp_path):
     store.change(lambda s: L.toggle_favorite(s, 1))
     store.delete(2)
     assert [(r.id, r.title, r.is_favorite) for r in store.read().collect()] == [(1, "a", True)]
+    seen = store.version()
+    stale = L.toggle_favorite(store.read(), 1)
+    store.change(lambda s: L.rename(s, 1, "c"))
+    with pytest.raises(RuntimeError, match="another writer"):
+        store.write(stale, after=seen)
+    told = []
+    views.live_view(
+        spark, store.folder, L.SCHEMA, lambda s: L.search(s, "c"), lambda df, n: told.append([r.title for r in df.collect()]), f"file://{tmp_path}/check", store.read
+    ).awaitTermination()
+    assert told == [["c"]]  # the newest snapshot alone
+
+
+def test_event_log_gives_each_event_once(spark, tmp_path):
+    log, told = f"file://{tmp_path}/log", []
+    for names in (["a", "b"], ["c"]):
+        views.append_events(spark.createDataFrame([(n,) for n in names], "name string"), log)
+        views.new_events(spark, log, "name string", lambda df, n: told.append(sorted(r.name for r in df.collect())), f"file://{tmp_path}/check").awaitTermination()
+    assert told == [["a", "b"], ["c"]]
+
+
+def test_changes_of_a_stream(spark, tmp_path):
+    rows = [("a", 1, "x"), ("a", 2, "x"), ("b", 1, "x"), ("a", 3, "y"), ("b", 2, "x"), ("a", 4, "x")]
+    df = spark.createDataFrame(rows, "key string, seq long, value string")
+    want = {("a", 1, "x"), ("a", 3, "y"), ("a", 4, "x"), ("b", 1, "x")}
+    assert {tuple(r) for r in views.changes(df, ["key"], ["seq"], "value").collect()} == want
 
 
 def names_of(spark, paths, taken=()):
