@@ -69,7 +69,16 @@ def _fold(seed: int) -> str:
     return f"aggregate(units, {zero}, (s, u) -> IF(s.open IS NULL, {first}, {step}))"
 
 
-def _rounded(units: DataFrame, seed: int) -> DataFrame:
+#: Sources up to which the table of sources is broadcast; more are joined by a shuffle.
+FEW_SOURCES = 50_000
+
+
+def _with_source(units: DataFrame, table: DataFrame, few: bool, key: str = "of") -> DataFrame:
+    """``units`` with their source's row of ``table``, whose source is ``key``."""
+    return units.join(F.broadcast(table) if few else table, F.expr(f"source <=> {key}"))
+
+
+def _rounded(units: DataFrame, seed: int, few: bool) -> DataFrame:
     """``units`` (source, doc_id, size, rows, rate) with total, the whole copies that their rows take together.
 
     Whole parts are taken as they are; fractions meet in blocks of ``FAN_IN``
@@ -80,7 +89,7 @@ def _rounded(units: DataFrame, seed: int) -> DataFrame:
     units = units.withColumn("mass", (F.col("share") - F.floor("share")) * F.col("size"))
     sizes = units.filter("mass > 0").groupBy("source").agg(F.expr(f"(count(*) + {FAN_IN - 1}) div {FAN_IN}").alias("blocks"))
     sizes = written(sizes.withColumnRenamed("source", "of"), "blocks")
-    live = units.filter("mass > 0").join(sizes, F.expr("source <=> of")).select(
+    live = _with_source(units.filter("mass > 0"), sizes, few).select(
         "source", "doc_id", "size", "rows", "mass", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.col("blocks")).alias("block")
     )
     depth = sizes.agg(F.max("blocks")).first()[0] or 1
@@ -138,9 +147,10 @@ def mix_sources(
     mean = units.groupBy("source").agg((F.sum(F.col("size") * F.col("rows")) / F.sum("rows")).alias("mean"))
     plan = targets(units, weights, most).withColumnRenamed("source", "of")
     plan = written(plan.join(mean, F.expr("source <=> of")).drop("source", "n"), "targets")
-    known = units.join(plan, F.expr("source <=> of"))
+    few = plan.count() <= FEW_SOURCES
+    known = _with_source(units, plan, few)
     rate = F.coalesce(F.col("target") / F.expr("nullif(source_size, 0)"), F.lit(0.0))
-    large = written(_rounded(known.filter("size > mean").select(*units.columns, rate.alias("rate")), seed), "rounded")
+    large = written(_rounded(known.filter("size > mean").select(*units.columns, rate.alias("rate")), seed, few), "rounded")
     taken = large.groupBy(F.col("source").alias("its")).agg(
         F.sum(F.col("total") * F.col("size")).alias("taken"), F.sum(F.col("rows") * F.col("size")).alias("gone")
     )
@@ -148,9 +158,9 @@ def mix_sources(
         "of", (F.col("target") - F.coalesce("taken", F.lit(0))).alias("open"), (F.col("source_size") - F.coalesce("gone", F.lit(0))).alias("rest"), "mean"
     )
     rate = F.greatest(F.lit(0.0), F.least(F.lit(float(most)), F.coalesce(F.col("open") / F.expr("nullif(rest, 0)"), F.lit(0.0))))
-    small = units.join(left, F.expr("source <=> of")).filter("size <= mean").select(*units.columns, rate.alias("rate"))
-    out = large.unionByName(_rounded(small, seed))
-    out = out.join(plan.drop("mean"), F.expr("source <=> of")).withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    small = _with_source(units, left, few).filter("size <= mean").select(*units.columns, rate.alias("rate"))
+    out = large.unionByName(_rounded(small, seed, few))
+    out = _with_source(out, plan.drop("mean"), few).withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
     copies = F.expr("total div rows + IF(turn <= total % rows, 1, 0)")
     out = out.select("doc_id", "size", "source", "source_size", "target", copies.cast("long").alias("copies"))
     return out.withColumn("taken", F.col("copies") * F.col("size"))

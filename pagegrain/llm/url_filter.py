@@ -58,11 +58,11 @@ def _generalise(tree: DataFrame, at: int, distinct_least: int, distinct_share: f
     parent = child.groupBy("host", "above").agg(
         F.count("*").alias("kinds"), F.sum("n").alias("all_n"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad")
     )
-    rate = F.col("all_bad") / F.col("all_labelled")
+    rate = F.try_divide("all_bad", "all_labelled")
     others, bad = F.col("all_labelled") - F.col("labelled"), F.col("all_bad") - F.col("bad")
     enough = (F.col("labelled") >= labelled_least) & (others >= labelled_least)
-    error = F.sqrt(rate * (1 - rate) * (1 / F.col("labelled") + 1 / F.nullif(others, F.lit(0))))
-    alike = enough & (F.abs(F.col("bad") / F.col("labelled") - bad / F.nullif(others, F.lit(0))) <= z * error + 1e-12)
+    error = F.sqrt(rate * (1 - rate) * (F.try_divide(F.lit(1), "labelled") + F.try_divide(F.lit(1), others)))
+    alike = enough & (F.abs(F.try_divide("bad", "labelled") - F.try_divide(bad, others)) <= z * error + 1e-12)
     variable = (F.col("kinds") >= distinct_least) & (F.col("kinds") >= distinct_share * F.col("all_n"))
     merged = child.join(parent, ["host", "above"]).filter(variable | F.coalesce(alike, F.lit(False)))
     merged = merged.select("host", "above", "segment", F.lit(ANY).alias("to"))
@@ -118,7 +118,7 @@ def template_tree(
     for part in done:
         tree = tree.unionByName(part)
     tree = written(tree, "templates")
-    overall = tree.agg((1 - F.sum("bad") / F.sum("labelled")).alias("good")).first()["good"]
+    overall = tree.agg((1 - F.try_divide(F.sum("bad"), F.sum("labelled"))).alias("good")).first()["good"]
 
     def smoothed(part: DataFrame, above: DataFrame | None, keys: list[str]) -> DataFrame:
         """Purity and labelled of the rows of ``part``, whose branch above is in ``up``, and labels_above, those of that branch."""

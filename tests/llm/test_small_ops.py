@@ -168,3 +168,29 @@ def test_url_templates_reach_every_level(spark):
     assert {(got[i].verdict, got[i].template.split("/")[4]) for i in range(60)} == {("block", "spam")}
     assert {(got[i].verdict, got[i].template.split("/")[4]) for i in range(60, 120)} == {("allow", "good")}
     assert got[120].template.count("/") == 1 and got[121].template.count("/") == 11
+
+
+def test_very_long_texts_and_one_id_of_many_sizes(spark):
+    long = "word " * 200_000
+    rows = [(i, "w " * 20, "a") for i in range(50)] + [(99, long, "a")] + [(7, "x " * i, "b") for i in range(300)] + [(None, "y " * i, "b") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = source_mixing.mix_sources(df).collect()
+    assert len(got) == len(rows) and all(0 <= r.taken <= 3 * r.size for r in got)
+    mine = [r for r in got if r.source == "b"]
+    assert abs(sum(r.taken for r in mine) - mine[0].target) <= 20
+    talk = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", "~" + long)], "conv_id long, turn long, role string, text string")
+    told = chat_format.chat_examples(talk)
+    row = told.select(chat_format.parse_example(told.text).alias("turns"), chat_format.loss_text(told.text, told.loss_start, told.loss_length).alias("loss")).first()
+    assert [t.text for t in row.turns] == [long, "~" + long] and row.loss == "~" + long
+    urls = spark.createDataFrame([(1, "http://h.org/" + "s" * 200_000), (2, "http://" + "h" * 100_000 + "/x"), (3, "://"), (4, "")], "page_id long, url string")
+    labels = spark.createDataFrame([(1, 1), (1, 0)], "key long, bad long")
+    judged = {r.page_id: r for r in url_filter.filter_urls(urls, labels, ()).collect()}
+    assert len(judged[1].path) == 200_001 and len(judged[2].host) == 100_000 and (judged[3].host, judged[4].path) == ("", "")
+
+
+def test_url_labels_of_a_repeated_key_count_once(spark):
+    urls = spark.createDataFrame([(i, f"http://h.org/p/{i}") for i in range(30)], "page_id long, url string")
+    labels = [(i, int(i < 5)) for i in range(30)]
+    once = url_filter.filter_urls(urls, spark.createDataFrame(labels, "key long, bad long"), ()).select("page_id", "purity", "verdict")
+    twice = url_filter.filter_urls(urls, spark.createDataFrame(labels * 2, "key long, bad long"), ()).select("page_id", "purity", "verdict")
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect()))
