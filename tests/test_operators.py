@@ -10,6 +10,7 @@ from pagegrain.sources import imports
 from pagegrain.sources.store import ScoreStore
 from pagegrain.streaming import views
 
+# Small inputs and what must come of them (peaks, grids, mappings, zones) are fixed values.
 SF = "/root/testdata/sf0.001"
 NAMES = [n for n in entry.oracle_sql() if not n.startswith("op")]
 
