@@ -18,8 +18,10 @@ import pyarrow.compute as pc
 
 from ._text import view
 
-#: Distinct pieces that a Python worker keeps from task to task; then it starts anew, so memory stays bounded.
-KEEP = 800_000
+#: Bytes of pieces, ids and their entries that a Python worker keeps from task to task; then it starts anew, so memory stays bounded.
+KEEP_BYTES = 128 << 20
+#: Bytes of a dictionary entry beside its string's own.
+ENTRY_BYTES = 140
 #: Text bytes of a batch; larger ones repeat more of their pieces.
 BATCH_BYTES = 4 << 20
 #: Pieces that one library call encodes.
@@ -84,6 +86,11 @@ def distinct_pieces(column: pa.Array) -> tuple[np.ndarray, list[str], list[str],
     return codes, pieces, heads, np.searchsorted(at[:-1], offsets)
 
 
+def held_by(strings) -> int:
+    """Bytes that the strings take as keys, about: up to four for a character."""
+    return sum(len(s) if s.isascii() else 4 * len(s) for s in strings) + ENTRY_BYTES * len(strings)
+
+
 class Tails:
     """Cuts punctuation from a piece's end where it follows a letter or digit: pre-tokens end there.
 
@@ -126,6 +133,7 @@ class ByteLevelIds:
         self.known: dict[str, int] = {}
         self.bare: dict[str, int] = {"": 0}
         self.ids, self.starts, self.sizes = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.held = 0
 
     def add(self, ids: np.ndarray, sizes) -> range:
         """New entries, their ids one after the other."""
@@ -134,6 +142,7 @@ class ByteLevelIds:
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.ids = np.concatenate([self.ids, ids])
+        self.held += 4 * len(ids)
         return range(first, len(self.sizes))
 
     def whole(self, text: str) -> np.ndarray:
@@ -141,6 +150,7 @@ class ByteLevelIds:
 
     def learn_bare(self, strings: set[str]) -> None:
         absent = list(strings.difference(self.bare))
+        self.held += held_by(absent)
         told = [e.ids for e in self.library.encode_batch_fast(absent, add_special_tokens=False)]
         self.bare.update(zip(absent, self.add(np.array([i for ids in told for i in ids], "<u4"), list(map(len, told)))))
 
@@ -148,6 +158,7 @@ class ByteLevelIds:
         """Encode the pieces joined; token lengths tell where each piece ends."""
         for at in range(0, len(pieces), GROUP):
             group = pieces[at : at + GROUP]
+            self.held += held_by(group)
             text = (" " + " ".join(group)).replace(" \n", "\n")
             ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             ends = np.concatenate([[0], np.cumsum(self.lengths[ids])])
@@ -166,6 +177,7 @@ class ByteLevelIds:
         self.learn(list(plain.difference(self.known)))
         self.learn_bare({tail for _, tail in cut.values()})
         if cut:
+            self.held += held_by(cut)
             stems = np.fromiter((self.known[stem] for stem, _ in cut.values()), np.int64, len(cut))
             tails = np.fromiter((self.bare[tail] for _, tail in cut.values()), np.int64, len(cut))
             both = np.stack([stems, tails], 1)
@@ -195,7 +207,7 @@ class ByteLevelIds:
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (no nulls), one after the other, and each text's bounds in them."""
-        if len(self.sizes) > KEEP:
+        if self.held > KEEP_BYTES:
             self.clear()
         texts = column.to_pylist()
         hard = np.flatnonzero(self.hard_rows(column, texts))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import (
     chat_format,
+    chunked_bpe,
     jpeg_media,
     minhash_dedup,
     packing,
@@ -119,10 +120,20 @@ def op10_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg_media.media_payloads(jpeg_media.media(table(spark, sf_dir, "documents")))
 
 
+def op11_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary_path("byte_bpe_50k.json")
+    coded = chunked_bpe.decode(chunked_bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict:
     ops = (
         op1_minhash_dedup, op2_token_counts, op3_url_filter, op4_source_mixing, op5_suffix_dedup,
         op6_chat_format, op7_packing, op8_quality_rules, op9_token_store, op10_jpeg_media,
+        op11_bpe_coding,
     )
     return {op.__name__: op for op in ops}
 

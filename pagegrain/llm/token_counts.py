@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._text import id_text, slices, view
-from ._tokens import BATCH_BYTES, GROUP, KEEP, Tails, added_tokens, distinct_pieces, kept, vocabulary
+from ._tokens import BATCH_BYTES, GROUP, KEEP_BYTES, Tails, added_tokens, distinct_pieces, held_by, kept, vocabulary
 
 
 def frequencies(codes: np.ndarray, first: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -36,6 +36,7 @@ class PieceCounts:
         self.library = vocabulary(path)
         self.tails = Tails(added_tokens(self.library))
         self.known: dict[str, int] = {}
+        self.held = 0
 
     def learn(self, pieces: list[str]) -> None:
         for at in range(0, len(pieces), GROUP):
@@ -46,13 +47,15 @@ class PieceCounts:
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
         """Token counts of the texts (no nulls): frequencies of their distinct pre-tokens joined with counts, summed."""
-        if len(self.known) > KEEP:
+        if self.held > KEEP_BYTES:
             self.known.clear()
+            self.held = 0
         codes, pieces, heads, first = distinct_pieces(texts)
         pieces = [p.removeprefix("\n") for p in pieces] + heads
         missing = set(pieces).difference(self.known)
         cut = self.tails.cut(missing)
         plain = (missing - cut.keys()).union(*cut.values())
+        self.held += held_by(plain) + held_by(cut)
         self.learn(list(plain.difference(self.known)))
         known = self.known
         known.update([(p, known[stem] + known[tail]) for p, (stem, tail) in cut.items()])

@@ -1,0 +1,95 @@
+"""Chunk reuse against the library's encoding of whole texts, and decoding back."""
+
+import hashlib
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+tokenizers = pytest.importorskip("tokenizers")
+public = pytest.importorskip("public_tokenizers")
+
+import __spark_entry__ as entry  # noqa: E402
+from pagegrain.llm import chunked_bpe as C  # noqa: E402
+
+PATH = public.path("byte_bpe_50k.json")
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def library():
+    return tokenizers.Tokenizer.from_file(PATH)
+
+
+def texts():
+    pick = random.Random(3)
+    parts = ["foo ", "bar", " ", "\n", "  ", "日", "é", "'s", "9", "12 ", "<|endoftext|>", "-", "\t", "\r\n", "the quick ", "　", " "]
+    out = ["", "a", "x  <|endoftext|> y " * 200, "  \n\n \t " * 300, "é" * 5000, "日本語テキスト" * 800, "a b c d e f " * 2000, "x" * 30000, "don't we'll I'M " * 300]
+    passage = " ".join("".join(pick.choice("abcdefgh") for _ in range(pick.randrange(2, 9))) for _ in range(800))
+    out += [passage, "z" + passage, passage[400:] + " end", passage + passage]
+    return out + ["".join(pick.choice(parts) for _ in range(pick.randrange(0, 900))) for _ in range(200)]
+
+
+def test_ids_are_those_of_whole_texts(library):
+    given = texts()
+    encoder, decoder = C.Encoder(PATH), C.Decoder(PATH)
+    ids, bounds = encoder(pa.array(given))
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [e.ids for e in library.encode_batch(given, add_special_tokens=False)]
+    assert decoder(ids, bounds).to_pylist() == given
+    n = len(encoder.known)
+    encoder(pa.array(given))
+    assert len(encoder.known) == n  # a known chunk or join is not encoded again
+
+
+def test_chunks_follow_content():
+    shared = np.random.default_rng(1).integers(97, 120, 40_000, np.uint8)
+    data = np.concatenate([np.full(777, 65, np.uint8), shared])
+    a = C.chunk_ends(shared, np.array([0, len(shared)]))
+    b = C.chunk_ends(data, np.array([0, len(data)]))
+    assert len(set(a.tolist()) & set((b - 777).tolist())) > 0.9 * len(a) > 30
+
+
+def test_a_chunk_that_does_not_agree_goes_to_its_joins(library, monkeypatch):
+    told, real = [], C.Encoder.agrees
+
+    def refusing(self, *given):
+        told.append(1)
+        return real(self, *given) and len(told) % 3 > 0
+
+    monkeypatch.setattr(C.Encoder, "agrees", refusing)
+    given = texts()
+    ids, bounds = C.Encoder(PATH)(pa.array(given))
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [e.ids for e in library.encode_batch(given, add_special_tokens=False)]
+
+
+def test_bounded_memory(monkeypatch):
+    monkeypatch.setattr(C, "KEPT_BYTES", 10_000)
+    encoder = C.Encoder(PATH)
+    for k in range(5):
+        encoder(pa.array([f"{k} some words and more of them {i}" * 40 for i in range(20)]))
+    assert len(encoder.known) < 150
+
+
+def test_rows_with_nulls_repeats_and_clashing_names(spark, library):
+    rows = [(1, "a b", "q"), (1, "a b", "q"), (None, None, None), (2, "", "r"), (None, "x <|endoftext|>", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
+    got = C.decode(C.encode(df, PATH), PATH).collect()
+    want = [(d, library.encode(t or "", add_special_tokens=False).ids, t or "") for d, t, _ in rows]
+    assert sorted(map(str, [(r.doc_id, r.ids, r.text) for r in got])) == sorted(map(str, want))
+    assert C.encode(df.filter("false"), PATH).count() == 0
+    empty = spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")
+    assert C.decode(empty, PATH).first().text == ""
+
+
+def test_op11(spark, library):
+    got = {r.doc_id: r for r in entry.queries()["op11_bpe_coding"](spark, SF).collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    assert len(got) == len(docs)
+    for doc in docs:
+        text = doc.text or ""
+        ids = library.encode(text, add_special_tokens=False).ids
+        told = library.decode(ids, skip_special_tokens=False)
+        r = got[doc.doc_id]
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(told.encode()).hexdigest()

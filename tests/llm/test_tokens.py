@@ -55,8 +55,8 @@ def test_piece_counts_equal_the_library():
 
 
 def test_known_pieces_stay_bounded(monkeypatch):
-    monkeypatch.setattr("pagegrain.llm._tokens.KEEP", 20)
-    monkeypatch.setattr("pagegrain.llm.token_counts.KEEP", 20)
+    monkeypatch.setattr("pagegrain.llm._tokens.KEEP_BYTES", 4000)
+    monkeypatch.setattr("pagegrain.llm.token_counts.KEEP_BYTES", 4000)
     lib, enc, count = library(BYTE), ByteLevelIds(BYTE), token_counts.PieceCounts(WORD)
     for seed in range(5):
         texts = random_texts(20, seed)
@@ -64,6 +64,14 @@ def test_known_pieces_stay_bounded(monkeypatch):
         assert count(pa.array(texts, pa.string())).tolist() == [len(library(WORD).encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+def test_long_texts_without_spaces_fill_what_is_kept(monkeypatch):
+    monkeypatch.setattr("pagegrain.llm._tokens.KEEP_BYTES", 100_000)
+    enc = ByteLevelIds(BYTE)
+    for c in "abcde":
+        ids_of(enc, [c * 60_000, " x"])
+    assert len(enc.known) + len(enc.bare) < 8  # few pieces, many bytes
+
+
 def frame(spark, texts):
     rows = [(i, t, "x", 0) for i, t in enumerate(texts)] + [(5, None, None, None), (None, "null id", None, 1), (5, "a", "x", 2)]
     return spark.createDataFrame(rows, "doc_id long, text string, n_tokens string, length int")
