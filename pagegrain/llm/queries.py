@@ -18,6 +18,7 @@ from . import (
     quality_rules,
     source_mixing,
     suffix_dedup,
+    token_alignment,
     token_counts,
     token_store,
     url_filter,
@@ -129,11 +130,15 @@ def op11_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), vocabulary_path("piece_bpe_32k.model"))
+
+
 def queries() -> dict:
     ops = (
         op1_minhash_dedup, op2_token_counts, op3_url_filter, op4_source_mixing, op5_suffix_dedup,
         op6_chat_format, op7_packing, op8_quality_rules, op9_token_store, op10_jpeg_media,
-        op11_bpe_coding,
+        op11_bpe_coding, op12_token_alignment,
     )
     return {op.__name__: op for op in ops}
 
