@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from . import (
     chat_format,
     chunked_bpe,
+    hard_negatives,
     jpeg_media,
     minhash_dedup,
     packing,
@@ -134,11 +135,17 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), vocabulary_path("piece_bpe_32k.model"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict:
     ops = (
         op1_minhash_dedup, op2_token_counts, op3_url_filter, op4_source_mixing, op5_suffix_dedup,
         op6_chat_format, op7_packing, op8_quality_rules, op9_token_store, op10_jpeg_media,
-        op11_bpe_coding, op12_token_alignment,
+        op11_bpe_coding, op12_token_alignment, op13_hard_negatives,
     )
     return {op.__name__: op for op in ops}
 
@@ -165,5 +172,18 @@ FROM s GROUP BY conv_id
 """
 
 
+OP13_SQL = """
+WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS code FROM embeddings
+    WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.id AS anchor_id, o.id, a.label = o.label AS same, CAST(list_inner_product(a.code, o.code) AS BIGINT) AS score
+    FROM v a JOIN v o ON a.id % 100 = 0 AND a.id <> o.id),
+pos AS (SELECT * FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT pos.anchor_id, pos.id AS positive_id, CAST(row_number() OVER w AS INT) AS "rank", n.id AS negative_id, pos.score AS positive_score, n.score AS negative_score
+FROM pos JOIN p n ON n.anchor_id = pos.anchor_id AND NOT n.same AND 30 * pos.score <= 100 * n.score AND 100 * n.score <= 90 * pos.score
+WINDOW w AS (PARTITION BY pos.anchor_id, pos.id ORDER BY n.score DESC, n.id) QUALIFY row_number() OVER w <= 10
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op6_chat_format": OP6_SQL}
+    return {"op6_chat_format": OP6_SQL, "op13_hard_negatives": OP13_SQL}
