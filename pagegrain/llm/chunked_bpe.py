@@ -22,9 +22,9 @@ from ._tokens import ByteLevelIds, kept
 #: Bytes that the rolling hash sees, bits of it that are zero at a border, and bytes of the shortest chunk but a text's last.
 WINDOW, BITS, SHORTEST = 16, 9, 64
 #: Bytes of strings and ids that a Python worker keeps from task to task; then it starts anew.
-KEPT_BYTES = 96 << 20
+KEPT_BYTES = 64 << 20
 #: Text bytes of a batch.
-BATCH = 4 << 20
+BATCH = 1 << 20
 
 
 def chunk_ends(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -66,10 +66,10 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        """Entry e has the ids from starts[e] on, sizes[e] of them."""
+        """Entry e has the ids from starts[e] on, sizes[e] of them, and the borders inner[e]."""
         self.known: dict[bytes, int] = {}
         self.ids, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.cuts: dict[int, tuple[int, int, int, int, int, int]] = {}
+        self.inner = np.zeros((0, 8), np.int64)
         self.held = 0
 
     def entries(self, column: pa.Array) -> np.ndarray:
@@ -79,42 +79,49 @@ class Encoder:
         fresh = [s for s in distinct if s not in self.known]
         if fresh:
             ids, bounds = self.fresh_ids(pa.array(fresh, pa.binary()).cast(pa.string()))
-            ids, sizes = ids.astype(np.int32), np.diff(bounds)
             self.known.update(zip(fresh, range(len(self.sizes), len(self.sizes) + len(fresh))))
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
-            self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+            self.inner = np.concatenate([self.inner, self.borders(fresh, ids, bounds)])
+            self.starts = np.concatenate([self.starts, len(self.ids) + bounds[:-1]])
+            self.ids, self.sizes = np.concatenate([self.ids, ids.astype(np.int32)]), np.concatenate([self.sizes, np.diff(bounds)])
             self.held += sum(map(len, fresh)) + 4 * len(ids) + 250 * len(fresh)
         return np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
 
-    def inside(self, entry: int, text: bytes) -> tuple[int, int, int, int, int, int]:
-        """A chunk's two first and two last sure borders as (first, second, last but one, last) bytes and the ids' range
-        between the second and the last but one; zeros if it has under four.  Sure: white space after a visible ASCII character."""
-        if entry not in self.cuts:
-            raw = np.frombuffer(text, np.uint8)
-            blank = (raw[1:] == 32) | (raw[1:] == 10)
-            sure = np.flatnonzero(blank & (raw[:-1] > 32) & (raw[:-1] < 127)) + 1
-            told = (0, 0, 0, 0, 0, 0)
-            if len(sure) >= 4:
-                ends = np.cumsum(self.lengths[self.ids[self.starts[entry] : self.starts[entry] + self.sizes[entry]]])
-                outer = sure[[0, 1, -2, -1]]
-                at = np.searchsorted(ends, outer)
-                if (ends[np.minimum(at, len(ends) - 1)] == outer).all():
-                    told = (*map(int, outer), int(at[1]) + 1, int(at[2]) + 1)
-            self.cuts[entry] = told
-        return self.cuts[entry]
-
-    def agrees(self, join: int, entry: int, left: bool, size: int, inner: int) -> bool:
-        """Whether a join's outermost pre-token, of ``size`` bytes, has the ids that it has in the chunk.
-
-        ``left``: it stands at the join's beginning, and in the chunk its ids begin at ``inner``; else it ends both.
+    def borders(self, strings: list[bytes], ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Of each string its first, second, last but one and last sure border in bytes, the tokens before each of the
+        middle two, and the tokens between the first two and between the last two; zeros if it has under four.
+
+        Sure: a blank after a visible ASCII character, where a pre-token begins whatever stands around.
         """
-        whole = self.ids[self.starts[join] : self.starts[join] + self.sizes[join]]
-        lengths = np.cumsum(self.lengths[whole] if left else self.lengths[whole[::-1]])
-        n = int(np.searchsorted(lengths, size)) + 1
-        if n > len(whole) or lengths[n - 1] != size:
-            return False
-        chunk = self.ids[self.starts[entry] : self.starts[entry] + self.sizes[entry]]
-        return bool((whole[:n] == chunk[inner : inner + n]).all() if left else n <= inner and (whole[-n:] == chunk[inner - n : inner]).all())
+        data = np.frombuffer(b"".join(strings), np.uint8)
+        begin = np.concatenate([[0], np.cumsum(list(map(len, strings)))])
+        blank = ((data[1:] == 32) | (data[1:] == 10)) & (data[:-1] > 32) & (data[:-1] < 127)
+        blank[begin[(begin > 0) & (begin < len(data))] - 1] = False
+        sure = np.flatnonzero(blank) + 1
+        low, high = np.searchsorted(sure, begin[:-1]), np.searchsorted(sure, begin[1:])
+        full = np.flatnonzero(high - low >= 4)
+        outer = sure[np.stack([low[full], low[full] + 1, high[full] - 2, high[full] - 1], 1)]
+        ends = np.cumsum(self.lengths[ids])
+        at = np.searchsorted(ends, outer)
+        fit = (ends[np.minimum(at, len(ends) - 1)] == outer).all(1) if len(full) else np.zeros(0, bool)
+        at += 1 - bounds[full][:, None]
+        told = np.zeros((len(strings), 8), np.int64)
+        told[full] = np.concatenate([outer - begin[full][:, None], at[:, 1:3], at[:, 1:2] - at[:, :1], at[:, 3:] - at[:, 2:3]], 1) * fit[:, None]
+        return told
+
+    def differ(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether the n ids from place a on are others than those from place b on."""
+        wrong = ragged(self.ids, a, n) != ragged(self.ids, b, n)
+        return np.bincount(np.repeat(np.arange(len(n)), n)[wrong], minlength=len(n)) > 0
+
+    def disagree(self, join: np.ndarray, chunk: np.ndarray, left: bool) -> np.ndarray:
+        """Whether a join's outermost pre-token has other ids than in the chunk (both entries), which stands left of the join or right."""
+        inner = self.inner[chunk]
+        n = inner[:, 7] if left else inner[:, 6]
+        fits = self.sizes[join] >= n
+        n = np.where(fits, n, 0)
+        here = self.starts[join] + (0 if left else self.sizes[join] - n)
+        there = self.starts[chunk] + (inner[:, 5] if left else inner[:, 4] - n)
+        return ~fits | self.differ(here, there, n)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (no nulls), one after the other, and each text's bounds in them."""
@@ -126,8 +133,7 @@ class Encoder:
         cut = pa.StringArray.from_buffers(len(ends), pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(data))
         chunk = self.entries(cut)
         text_of = np.searchsorted(offsets, starts, side="right") - 1
-        raw = data.tobytes()
-        parts = np.array([self.inside(e, raw[a:b]) for e, a, b in zip(chunk.tolist(), starts.tolist(), ends.tolist())], np.int64).reshape(-1, 6)
+        parts = self.inner[chunk]
         firm = parts[:, 5] > parts[:, 4]
         while True:
             keep = np.flatnonzero(firm)
@@ -145,19 +151,13 @@ class Encoder:
                 [None, pa.py_buffer(np.concatenate([[0], np.cumsum(stop - begin)]).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(ragged(data, begin, stop - begin)))],
             )
             join = self.entries(joins.cast(pa.large_string()))
-            wrong = set()
-            for k in range(len(begin)):
-                i = int(keep[piece[k]]) if piece[k] >= 0 else None
-                if i is not None and not self.agrees(int(join[k]), int(chunk[i]), True, int(parts[i, 3] - parts[i, 2]), int(parts[i, 5])):
-                    wrong.add(i)
-                j = int(keep[after[k]]) if after[k] >= 0 else None
-                if j is not None and not self.agrees(int(join[k]), int(chunk[j]), False, int(parts[j, 1] - parts[j, 0]), int(parts[j, 4])):
-                    wrong.add(j)
-            if not wrong:
+            has, has_next = piece >= 0, after >= 0
+            before, behind = keep[piece[has]], keep[after[has_next]]
+            wrong = np.concatenate([before[self.disagree(join[has], chunk[before], True)], behind[self.disagree(join[has_next], chunk[behind], False)]])
+            if not len(wrong):
                 break
-            firm[list(wrong)] = False
+            firm[wrong] = False
         # joins and the chunks before them, in turn
-        has = piece >= 0
         size = np.zeros(2 * len(begin), np.int64)
         place = np.zeros(2 * len(begin), np.int64)
         mine = keep[piece[has]]
@@ -207,7 +207,15 @@ class Decoder:
     def __call__(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
         """Texts of the ids between the bounds; bytes that are no UTF-8 become replacement characters."""
         raw = ragged(self.data, self.starts[ids], self.sizes[ids]).tobytes()
-        ends = np.concatenate([[0], np.cumsum(self.sizes[ids])])[bounds].tolist()
+        at = np.concatenate([[0], np.cumsum(self.sizes[ids])])[bounds]
+        data = np.frombuffer(raw, np.uint8)
+        if not ((data[at[at < len(data)]] & 0xC0) == 0x80).any():  # no character lies in two texts
+            try:
+                raw.decode()
+                return pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(raw))
+            except UnicodeDecodeError:
+                pass
+        ends = at.tolist()
         return pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])], pa.string())
 
 
