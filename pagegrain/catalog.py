@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .plans.oracles import ORACLES
+from .plans.page_oracles import PAGE_ORACLES
 from .plans.registry import QUERIES, flagship
 
 __all__ = ["flagship", "oracle_sql", "queries"]
@@ -13,4 +14,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return dict(ORACLES)
+    return ORACLES | PAGE_ORACLES

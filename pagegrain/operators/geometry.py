@@ -1,12 +1,10 @@
-"""Lines and resampling: least squares, interpolation between samples, cubic taps."""
+"""Lines: least squares, interpolation between samples."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scalars as S
-
 
 def fit_lines(points: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> DataFrame:
     """keys, slope, intercept, n of least squares; one x alone gives slope 0 and the mean; a single point raises."""
@@ -35,20 +33,3 @@ def interpolate(samples: DataFrame, keys: list[str], at: str, value: str, low: i
     share = (F.col(at) - F.col("p0")) / F.nullif(F.col("p1") - F.col("p0"), F.lit(0))
     inside = F.col("v0") + F.coalesce(share, F.lit(0.0)) * (F.col("v1") - F.col("v0"))
     return told.select(*keys, at, F.coalesce(inside, "v0", "v1").alias(value))
-
-
-def remap_rows(pixels: DataFrame, coords: DataFrame, heights: DataFrame) -> DataFrame:
-    """page_id, y, x, v: cubic resampling down the columns of pixels (page_id, y, x, v).
-
-    ``coords`` (page_id, y, x, src) tells which source row each pixel wants.
-    Four taps at floor(src) - 1 .. + 2, rows clamped to the page, joined by
-    place and summed.
-    """
-    base = F.floor("src")
-    taps = coords.join(heights.select("page_id", "height"), "page_id").select(
-        "page_id", "y", "x", base.alias("base"), (F.col("src") - base).alias("frac"), "height", F.explode(F.sequence(F.lit(-1), F.lit(2))).alias("k")
-    )
-    row = F.least(F.greatest(F.col("base") + F.col("k"), F.lit(0)), F.col("height") - 1).cast("long")
-    taps = taps.select("page_id", "y", "x", row.alias("row"), S.cubic_weight(F.col("k") - F.col("frac")).alias("w"))
-    source = pixels.select("page_id", F.col("y").cast("long").alias("row"), "x", F.col("v").cast("double").alias("v"))
-    return taps.join(source, ["page_id", "row", "x"]).groupBy("page_id", "y", "x").agg(F.sum(F.col("w") * F.col("v")).alias("v"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import written
+
 SCHEMA = T.StructType(
     [
         T.StructField("id", T.LongType(), False),
@@ -123,6 +125,53 @@ def changed_views(scores: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(old, "id").filter(~same).select("id", "page", "zoom")
 
 
+def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """Adds number, from 1 in the order given: ranges are numbered apart, and only one row a range is counted through."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    placed = written(placed, "ordered").withColumn("__part", F.shiftright("__at", 33))
+    counts = placed.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("__part", before.alias("__before"))
+    told = placed.join(counts, "__part").withColumn("number", F.col("__before") + F.col("__at") - F.shiftleft("__part", 33) + 1)
+    return told.drop("__part", "__at", "__before")
+
+
+def insert_rows(scores: DataFrame, rows: DataFrame) -> DataFrame:
+    """The scores with new rows: id 0 or null gets the next ids in order of title and path; an id that exists raises.
+
+    Written back, it is the table after the insert; an append of the new rows alone is ``new_rows``.
+    """
+    return scores.unionByName(new_rows(scores, rows))
+
+
+def new_rows(scores: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of an insert with their ids: given ones checked against the table and each other, the others made."""
+    fresh = F.coalesce(F.col("id") == 0, F.lit(True))
+    given = rows.filter(~fresh)
+    known = given.join(scores.select("id", F.lit(True).alias("__known")), "id", "left").withColumn("__times", F.count("*").over(Window.partitionBy("id")))
+    free = F.assert_true(F.col("__known").isNull() & (F.col("__times") == 1), F.lit("a score with this id exists")).isNull()
+    given = known.filter(free).select(*scores.columns)
+    top = scores.select("id").unionByName(rows.filter(~fresh).select("id")).agg(F.coalesce(F.max("id"), F.lit(0)).alias("__top"))
+    made = numbered(rows.filter(fresh).drop("id"), [F.col("title"), F.col("original_file_path")])
+    made = made.join(F.broadcast(top)).withColumn("id", F.col("__top") + F.col("number"))  # one row: the greatest id
+    return given.unionByName(made.select(*scores.columns))
+
+
+def delete_with_files(scores: DataFrame, score_id: int) -> DataFrame:
+    """The scores without a row, whose files are removed as far as they are there.  Written back, it is the table after the delete."""
+    spark = scores.sparkSession
+    gone = by_id(scores, score_id).select("original_file_path", "music_xml_path").first()
+    for path in gone or ():
+        if path:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            try:
+                target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, False)
+            except Exception:  # noqa: BLE001  a file that cannot go must not keep the row
+                pass
+    return scores.filter(F.col("id") != score_id)
+
+
 def replace_rows(scores: DataFrame, rows: DataFrame) -> DataFrame:
     """Whole rows by id; ids that are not stored are ignored."""
     known = rows.join(scores.select("id"), "id", "left_semi").select(*scores.columns)

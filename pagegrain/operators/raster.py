@@ -1,13 +1,13 @@
 """Raster operators on bands (page_id, y, data): a row of pixels is an array, so no pixel is a row of its own.
 
-Masks hold 0 and 1.  Morphology along a row works inside the array, along the
-columns on the arrays of neighbouring rows, both on Arrow batches of rows.
+Masks hold 0 and 1.  What needs neighbouring rows works on blocks of rows, each
+with the rows around it that it reaches, in one step.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,43 +33,74 @@ def pixels(masks: DataFrame) -> DataFrame:
     return masks.select("page_id", "y", F.posexplode("data").alias("x", "on")).filter("on > 0").select("page_id", "y", F.col("x").cast("long").alias("x"))
 
 
-def _beside(kind: str, before: int, after: int):
-    """Any or all of the pixels beside each one of a row, as a column function of the row."""
-    pick, edge = {"dilate": (np.max, 0), "erode": (np.min, 1)}[kind]
+#: Rows of a block, the most that a task's step sees of a page beside the rows around it.
+BLOCK_ROWS = 128
 
-    @F.pandas_udf("array<int>")
-    def near(rows: pd.Series) -> pd.Series:
-        told = [np.lib.stride_tricks.sliding_window_view(np.pad(r, (before, after), constant_values=edge), before + after + 1) for r in rows]
-        return pd.Series([pick(t, axis=1).astype(np.int32) for t in told])
 
-    return near
+def blocks(rows: DataFrame, before: int, after: int) -> DataFrame:
+    """Adds block to rows (page_id, y, ...): each row comes once for its own block and for those that have it
+    among the ``before`` rows above them or the ``after`` rows below them."""
+    reach = F.sequence(F.floor(F.greatest(F.col("y") - after, F.lit(0)) / BLOCK_ROWS), F.floor((F.col("y") + before) / BLOCK_ROWS))
+    return rows.withColumn("block", F.explode(reach))
 
 
-def _above(kind: str):
-    """Any or all of a row and its neighbours (null beyond the page), as a column function of an array of rows."""
-    pick = {"dilate": np.max, "erode": np.min}[kind]
+def matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
+    """A column of equally long arrays as a matrix."""
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
 
-    @F.pandas_udf("array<int>")
-    def near(rows: pd.Series) -> pd.Series:
-        return pd.Series([pick(np.stack([r for r in some if r is not None]), axis=0).astype(np.int32) for some in rows])
 
-    return near
+def lists(values: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """A matrix as a column of arrays."""
+    ends = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel(), kind))
+
+
+def _moved(mask: np.ndarray, axis: int, kind: str, size: int) -> np.ndarray:
+    """Any or all of ``size`` pixels along an axis, size // 2 of them before; outside never decides."""
+    pick, edge = {"dilate": (np.maximum, 0), "erode": (np.minimum, 1)}[kind]
+    before, after = size // 2, size - size // 2 - 1
+    n = mask.shape[axis]
+    padded = np.pad(mask, [(before, after) if k == axis else (0, 0) for k in range(2)], constant_values=edge)
+    out = mask
+    for k in range(size):
+        out = pick(out, padded[k : k + n] if axis == 0 else padded[:, k : k + n])
+    return out
+
+
+def morphed(masks: DataFrame, steps: list[tuple[str, str, int]]) -> DataFrame:
+    """Masks after steps of (axis, kind, size): all of them at once on blocks of rows with the rows around that they reach."""
+    before = sum(size // 2 for axis, _, size in steps if axis == "y")
+    after = sum(size - size // 2 - 1 for axis, _, size in steps if axis == "y")
+
+    def one(key, table):
+        table = table.sort_by("y")
+        y, mask = table["y"].to_numpy(), matrix(table["data"], table.num_rows)
+        for axis, kind, size in steps:
+            mask = _moved(mask, 0 if axis == "y" else 1, kind, size)
+        own = y // BLOCK_ROWS == key[1].as_py()
+        return pa.table([pa.array([key[0].as_py()] * int(own.sum()), pa.string()), pa.array(y[own]), lists(mask[own], pa.int32())], names=["page_id", "y", "data"])
+
+    rows = masks.select(F.col("page_id").cast("string"), F.col("y").cast("long"), F.col("data").cast("array<int>"))
+    return blocks(rows, before, after).groupBy("page_id", "block").applyInArrow(one, "page_id string, y long, data array<int>")
 
 
 def morphology(masks: DataFrame, axis: str, kind: str, size: int = 6) -> DataFrame:
     """Dilate (any) or erode (all) along y or x over size pixels, size // 2 of them before; outside never decides."""
-    before, after = size // 2, size - size // 2 - 1
-    if axis == "x":
-        return masks.select("page_id", "y", _beside(kind, before, after)("data").alias("data"))
-    order = Window.partitionBy("page_id").orderBy("y")
-    rows = [F.lag("data", k).over(order) for k in range(1, before + 1)] + [F.lead("data", k).over(order) for k in range(1, after + 1)]
-    near = masks.select("page_id", "y", F.array("data", *rows).alias("rows"))
-    return near.select("page_id", "y", _above(kind)("rows").alias("data"))
+    return morphed(masks, [(axis, kind, size)])
 
 
 def thicken(masks: DataFrame) -> DataFrame:
     """Dilate down the columns, then open along the rows."""
-    return morphology(morphology(morphology(masks, "y", "dilate"), "x", "erode"), "x", "dilate")
+    return morphed(masks, [("y", "dilate", 6), ("x", "erode", 6), ("x", "dilate", 6)])
+
+
+def mask_sizes(masks: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The masks; raises where a page's rows are not as many or not as long as its size (page_id, width, height) says."""
+    told = masks.groupBy("page_id").agg(F.min(F.size("data")).alias("least"), F.max(F.size("data")).alias("most"), F.count_distinct("y").alias("rows"))
+    told = told.join(sizes.select("page_id", "width", "height"), "page_id")
+    fits = (F.col("least") == F.col("width")) & (F.col("most") == F.col("width")) & (F.col("rows") == F.col("height"))
+    good = told.filter(F.assert_true(fits, F.lit("a mask has another size than its page")).isNull()).select("page_id")
+    return masks.join(good, "page_id", "left_semi")
 
 
 def strip_grids(masks: DataFrame, unit: int = SPLIT_UNIT) -> DataFrame:
@@ -114,12 +145,12 @@ def majority(labels: DataFrame, keys: list[str], label: str, where: Column | Non
     return labels.groupBy(*keys).agg(F.mode(mine, True).alias(label))
 
 
-def control_points(regions: DataFrame, sizes: DataFrame, ratio: float = 0.4, period: int = 10) -> DataFrame:
+def control_points(columns: DataFrame, sizes: DataFrame, ratio: float = 0.4, period: int = 10) -> DataFrame:
     """page_id, target_row, column, source_row: every ``period``-th column of wide regions, and the page's first and last row.
 
-    ``regions`` has pixels (page_id, region, y, x); a region is wide if it spans ``ratio`` of the page's width.
+    ``columns`` has page_id, region, x, n and total: how many pixels a region has in a column, and the sum of their rows.
+    A region is wide if it spans ``ratio`` of the page's width.
     """
-    columns = regions.groupBy("page_id", "region", "x").agg(F.sum("y").alias("total"), F.count("*").alias("n"))
     by = Window.partitionBy("page_id", "region")
     told = columns.join(sizes.select("page_id", "width"), "page_id").select(
         "page_id", "x", "width", S.half_up(F.sum("total").over(by) / F.sum("n").over(by)).alias("target_row"),

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def _by():
     return Window.partitionBy("series_id")
@@ -23,16 +25,22 @@ def dense(sparse: DataFrame) -> DataFrame:
     return spine.join(sparse, ["series_id", "i"], "left").select("series_id", "i", F.coalesce("v", F.lit(0)).cast("double").alias("v"))
 
 
+def checked_zones(zones: DataFrame) -> DataFrame:
+    """Zones (page_id, zone_left, zone_right, width, height); raises where one leaves its page or ends before it begins."""
+    fits = (F.col("zone_left") >= 0) & (F.col("zone_left") <= F.col("zone_right")) & (F.col("zone_right") <= F.col("width"))
+    return zones.filter(F.assert_true(fits, F.lit("a zone does not lie on its page")).isNull())
+
+
 def in_zone(pixels: DataFrame, zones: DataFrame) -> DataFrame:
     """Pixels (page_id, y, x) in their page's columns from zone_left up to zone_right."""
-    inside = pixels.join(zones.select("page_id", "zone_left", "zone_right"), "page_id")
+    inside = pixels.join(checked_zones(zones).select("page_id", "zone_left", "zone_right"), "page_id")
     return inside.filter("x >= zone_left AND x < zone_right").select("page_id", "y", "x")
 
 
 def zone_density(pixels: DataFrame, zones: DataFrame) -> DataFrame:
-    """A series for each zone (page_id, zone_left, zone_right, height): its pixels that are on in every row of the page."""
+    """A series for each zone (page_id, zone_left, zone_right, width, height): its pixels that are on in every row of the page."""
     counts = in_zone(pixels, zones).groupBy("page_id", "y").agg(F.countDistinct("x").alias("n"))
-    rows = zones.select("page_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("height") - 1)).alias("y"))
+    rows = checked_zones(zones).select("page_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("height") - 1)).alias("y"))
     joined = rows.join(counts, ["page_id", "y"], "left")
     return joined.select(F.col("page_id").alias("series_id"), F.col("y").alias("i"), F.coalesce("n", F.lit(0)).cast("double").alias("v"))
 
@@ -55,44 +63,137 @@ def local_maxima(series: DataFrame) -> DataFrame:
     return around.filter("v > before AND v > after").select("series_id", F.expr("(lo + hi) div 2").alias("i"), "v")
 
 
+#: Samples of a block, the most of a series that one step sees.
+BLOCK = 1 << 16
+#: Rounds in which peaks that are the highest around are kept, before what is left is decided run by run.
+ROUNDS = 2
+
+
 def far_apart(peaks: DataFrame, distance: int) -> DataFrame:
-    """Greedy from the highest (on ties the later): peaks strictly closer than ``distance`` to a kept one go."""
+    """Greedy from the highest (on ties the later): peaks strictly closer than ``distance`` to a kept one go.
+
+    A peak that no open peak so near exceeds is kept and closes those around
+    it, whatever happens elsewhere.  Blocks of a series, with the peaks around
+    them, decide most peaks so in a few rounds; what stays open falls into
+    short runs with gaps of ``distance`` or more between them, and each run is
+    decided in order of height.
+    """
     if distance < 1:
         raise ValueError("distance must be at least 1")
-    order = F.array_sort(F.collect_list(F.struct((-F.col("v")).alias("v"), (-F.col("i")).alias("i"))))
-    kept = F.aggregate(
-        F.col("ranked"),
-        F.expr("CAST(array() AS array<struct<v:double,i:bigint>>)"),
-        lambda k, p: F.when(F.exists(k, lambda q: F.abs(q["i"] - p["i"]) < distance), k).otherwise(F.concat(k, F.array(p))),
-    )
-    chosen = peaks.groupBy("series_id").agg(order.alias("ranked")).select("series_id", F.explode(kept).alias("p"))
-    return chosen.select("series_id", (-F.col("p.i")).alias("i"), (-F.col("p.v")).alias("v"))
-
+    near, block = distance - 1, max(BLOCK, 2 * distance)
+    told = peaks.select("series_id", F.col("i").cast("long").alias("i"), F.col("v").cast("double").alias("v"), F.lit(0).alias("state"))
+    rank = F.when(F.col("state") == 0, F.struct("v", "i"))
+    for _ in range(ROUNDS):
+        for step in ("keep", "close"):
+            reach = F.sequence(F.floor((F.col("i") - near) / block), F.floor((F.col("i") + near) / block))
+            spread = told.withColumn("block", F.explode(reach))
+            around = Window.partitionBy("series_id", "block").orderBy("i").rangeBetween(-near, near)
+            if step == "keep":
+                new = F.when((F.col("state") == 0) & (F.max(rank).over(around) == F.struct("v", "i")), 1).otherwise(F.col("state"))
+            else:
+                new = F.when((F.col("state") == 0) & (F.max(F.when(F.col("state") == 1, 1)).over(around) == 1), -1).otherwise(F.col("state"))
+            spread = spread.withColumn("new", new).filter(F.col("block") == F.floor(F.col("i") / block))
+            told = spread.select("series_id", "i", "v", F.col("new").alias("state"))
+    kept = told.filter("state = 1").select("series_id", "i", "v")
+    left = told.filter("state = 0")
+    new = F.coalesce((F.col("i") - F.lag("i").over(_ordered()) >= distance).cast("int"), F.lit(0))
+    left = left.withColumn("new", new).withColumn("run", F.sum("new").over(_ordered())).select("series_id", "run", "i", "v")
 
-def side_least(values: np.ndarray) -> np.ndarray:
-    """For each sample the least one between it and the nearest strictly greater sample before it (itself included)."""
-    out, stack = np.empty(len(values)), []
-    for i, v in enumerate(values):
+    def one(table: pa.Table) -> pa.Table:
+        at, v = table["i"].to_numpy(), table["v"].to_numpy()
+        by_place = np.argsort(at)
+        at, v = at[by_place], v[by_place]
+        low, high = np.searchsorted(at, at - near), np.searchsorted(at, at + near, side="right")
+        open_ = np.ones(len(at), bool)
+        stays = []
+        for k in np.lexsort([at, v])[::-1]:
+            if open_[k]:
+                stays.append(k)
+                open_[low[k] : high[k]] = False
+        return table.take(pa.array(by_place[np.array(stays, np.int64)])).select(["series_id", "i", "v"])
+
+    decided = left.groupBy("series_id", "run").applyInArrow(one, "series_id string, i long, v double")
+    return kept.unionByName(decided)
+
+
+def side_least(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each sample the least one between it and the nearest strictly greater sample before it (itself included),
+    and whether there is no such sample."""
+    out, free, stack = np.empty(len(values)), np.empty(len(values), bool), []
+    for i, v in enumerate(values.tolist()):
         least = v
         while stack and stack[-1][0] <= v:
             least = min(least, stack.pop()[1])
-        out[i] = least
+        out[i], free[i] = least, not stack
         stack.append((v, least))
-    return out
+    return out, free
 
 
 def prominences(peaks: DataFrame, series: DataFrame) -> DataFrame:
-    """Adds prominence on the whole series: height over the higher of the two side minima.  Linear in the series' length."""
-    marked = series.join(peaks.select("series_id", "i", F.lit(True).alias("peak")), ["series_id", "i"], "left")
+    """Adds prominence on the whole series: height over the higher of the two side minima.
 
-    def one(table: pa.Table) -> pa.Table:
-        table = table.sort_by("i")
-        v = table["v"].to_numpy()
-        high = v - np.maximum(side_least(v), side_least(v[::-1])[::-1])
-        return table.append_column("prominence", pa.array(high)).filter(table["peak"]).drop_columns(["peak"])
+    A side ends at the nearest strictly greater sample.  Blocks of the series
+    find it within themselves; for a side that leaves its block, the blocks'
+    greatest samples tell which block it ends in and the blocks' least ones
+    what lies between; that last block is then asked.
+    """
+    mine = F.floor(F.col("i") / BLOCK).alias("block")
+    samples = series.select(F.col("series_id").cast("string"), mine, F.col("i").cast("long").alias("i"), F.col("v").cast("double").alias("v"))
+    marked = samples.join(peaks.select(F.col("series_id").cast("string"), F.col("i").cast("long").alias("i"), F.lit(True).alias("peak")), ["series_id", "i"], "left")
+    names = ["series_id", "block", "i", "v", "side", "low", "free"]
 
-    out = "series_id string, i long, v double, prominence double"
-    return marked.select(F.col("series_id").cast("string"), "i", "v", "peak").groupBy("series_id").applyInArrow(one, out)
+    def within(key, table):
+        table = table.sort_by("i")
+        v, at = table["v"].to_numpy(), table["i"].to_numpy()
+        here = np.flatnonzero(table["peak"].is_valid().to_numpy())
+        sides = [side_least(v), tuple(x[::-1] for x in side_least(v[::-1]))]
+        told = [pa.array([key[0].as_py()] * (2 * len(here)), pa.string()), pa.array([key[1].as_py()] * (2 * len(here)), pa.int64()), pa.array(np.tile(at[here], 2))]
+        told += [pa.array(np.tile(v[here], 2)), pa.array(np.repeat(np.array([0, 1], np.int32), len(here)))]
+        told += [pa.array(np.concatenate([s[k][here] for s in sides])) for k in range(2)]
+        return pa.table(told, names=names)
+
+    found = written(marked.groupBy("series_id", "block").applyInArrow(within, "series_id string, block long, i long, v double, side int, low double, free boolean"), "sides")
+    bounds = written(samples.groupBy("series_id", "block").agg(F.max("v").alias("most"), F.min("v").alias("least")), "block-bounds")
+    leaving = found.filter("free")
+    asking = leaving.select("series_id", F.col("block").alias("of")).distinct()
+    others = bounds.join(asking, "series_id").filter("block <> of").withColumnRenamed("of", "asks")
+
+    def across(key, sides, blocks):
+        own = key[1].as_py()
+        blocks = blocks.sort_by("block")
+        number, most, least = (blocks[c].to_numpy() for c in ("block", "most", "least"))
+        v, side, low = (sides[c].to_numpy() for c in ("v", "side", "low"))
+        low, target = low.copy(), np.full(len(v), -1)
+        for k, some in enumerate((np.flatnonzero(number < own)[::-1], np.flatnonzero(number > own))):
+            mine = np.flatnonzero(side == k)
+            if len(some) and len(mine):
+                n = np.searchsorted(np.maximum.accumulate(most[some]), v[mine], side="right")  # blocks that nothing in exceeds v
+                lows = np.minimum.accumulate(np.concatenate([[np.inf], least[some]]))
+                low[mine] = np.minimum(low[mine], lows[n])
+                target[mine] = np.where(n < len(some), number[some[np.minimum(n, len(some) - 1)]], -1)
+        told = {"series_id": sides["series_id"], "i": sides["i"], "v": sides["v"], "side": sides["side"], "low": pa.array(low), "target": pa.array(target)}
+        return pa.table(told)
+
+    schema = "series_id string, i long, v double, side int, low double, target long"
+    gone = leaving.groupBy("series_id", "block").cogroup(others.groupBy("series_id", "asks")).applyInArrow(across, schema)
+    gone = written(gone, "sides-across")
+    asked = gone.filter("target >= 0").withColumnRenamed("target", "block")
+
+    def inside(key, sides, table):
+        if not sides.num_rows:
+            return pa.table({"series_id": pa.array([], pa.string()), "i": pa.array([], pa.int64()), "v": pa.array([], pa.float64()), "low": pa.array([], pa.float64())})
+        values = table.sort_by("i")["v"].to_numpy()
+        v, side, low = (sides[c].to_numpy() for c in ("v", "side", "low"))
+        told = low.copy()
+        for k, run in enumerate((values[::-1], values)):  # from the side that the peak lies on
+            n = np.searchsorted(np.maximum.accumulate(run), v, side="right")
+            told = np.where(side == k, np.minimum(told, np.minimum.accumulate(np.concatenate([[np.inf], run]))[n]), told)
+        return pa.table({"series_id": sides["series_id"], "i": sides["i"], "v": sides["v"], "low": pa.array(told)})
+
+    ended = asked.groupBy("series_id", "block").cogroup(samples.groupBy("series_id", "block")).applyInArrow(inside, "series_id string, i long, v double, low double")
+    columns = ["series_id", "i", "v", "low"]
+    sides = found.filter("NOT free").select(columns).unionByName(gone.filter("target < 0").select(columns)).unionByName(ended)
+    return sides.groupBy("series_id", "i").agg(F.first("v").alias("v"), (F.first("v") - F.max("low")).alias("prominence"))
 
 
 def find_peaks(series: DataFrame, height: float | None = None, distance: int = 1, prominence: float | None = None) -> DataFrame:

@@ -61,7 +61,8 @@ hit AS (SELECT series_id, staff, centre, count(*) AS n, min(x) AS x_min, max(x)
 lines AS (SELECT f.series_id, f.staff, coalesce(n, 1) AS n, coalesce(x_min, 0) AS x_min, coalesce(x_max, 0) AS x_max, coalesce(x_centre, 0) AS x_centre,
     coalesce(y_min, f.i) AS y_min, coalesce(y_max, f.i) AS y_max, coalesce(y_centre, f.i) AS y_centre, coalesce(slope, 0) AS slope
     FROM five f LEFT JOIN hit h ON h.series_id = f.series_id AND h.staff = f.staff AND h.centre = f.i)"""
-EVENTS = """px AS (SELECT DISTINCT event_type AS page_id, user_id % 150 AS y, CAST(floor((epoch(ts) - 1704067200) / 3600) AS BIGINT) % 720 AS x FROM events)"""
+EVENTS = """px AS (SELECT DISTINCT event_type || '/' || user_id // 150 || '/' || CAST(floor((epoch(ts) - 1704067200) / 3600) AS BIGINT) // 720 AS page_id, user_id % 150 AS y,
+    CAST(floor((epoch(ts) - 1704067200) / 3600) AS BIGINT) % 720 AS x FROM events)"""
 RASTER = """seg AS (SELECT CAST(o_custkey // 150 AS VARCHAR) AS page_id, o_custkey % 150 // 10 AS slot, o_orderkey * 37 % 690 AS x0, 4 + o_orderkey % 27 AS length FROM orders),
 px AS (SELECT DISTINCT page_id, 10 + slot // 5 * 90 + slot % 5 * 12 + x0 // 240 AS y, unnest(range(x0, x0 + length)) AS x FROM seg),
 page AS (SELECT DISTINCT page_id FROM seg),
@@ -128,6 +129,9 @@ ORACLES = {
         CAST(CASE WHEN id = 5 THEN 0.5 ELSE 0 END AS DOUBLE) AS progress, CASE WHEN id = 6 THEN 'x.musicxml' END AS music_xml_path,
         CASE WHEN id = 7 THEN NOT is_favorite ELSE is_favorite END AS is_favorite FROM lib""",
     "lib_replace_delete": "SELECT p_partkey AS id, CASE WHEN p_partkey % 10 = 0 THEN upper(p_name) ELSE p_name END AS title FROM part WHERE p_partkey % 3 <> 0",
+    "lib_inserts": f"""WITH {LIBRARY}, few AS (SELECT id, title || ' ' || id AS title, original_file_path AS path FROM lib WHERE id % 10 = 0)
+        SELECT id, title FROM lib UNION ALL SELECT -id - 1, title FROM few
+        UNION ALL SELECT (SELECT max(id) FROM lib) + row_number() OVER (ORDER BY title, path), title FROM few""",
     "lib_changed_views": "SELECT p_partkey AS id, CAST(p_partkey % 3 AS INT) AS page FROM part WHERE p_partkey % 3 <> 0",
     "series_density": f"WITH {SERIES} SELECT * FROM raw",
     "series_z_scores": f"WITH {SERIES}, {Z} SELECT series_id, i, round(v, 4) + 0 AS v FROM z",
@@ -161,14 +165,15 @@ ORACLES = {
         FROM ends e JOIN grids g ON g.page_id = e.page_id AND g.id = a JOIN grids h ON h.page_id = e.page_id AND h.id = b""",
     "mapping_points": f"""WITH RECURSIVE {POINTS} SELECT * FROM points""",
     "row_maps": f"""WITH RECURSIVE {POINTS}, s AS (SELECT page_id, target_row, "column", max(source_row) AS v FROM points GROUP BY ALL),
-        rws AS (SELECT DISTINCT page_id, target_row FROM s), cx AS (SELECT x FROM range(720) q(x) WHERE x % 12 = 5),
+        rws AS (SELECT DISTINCT page_id, target_row FROM s), cx AS (SELECT x FROM range(720) q(x)),
         a AS (SELECT r.page_id, r.target_row, x, s."column" AS c0, s.v AS v0 FROM (SELECT * FROM rws, cx) r ASOF LEFT JOIN s ON s.page_id = r.page_id AND s.target_row = r.target_row AND r.x >= s."column"),
         b AS (SELECT a.*, s."column" AS c1, s.v AS v1 FROM a ASOF LEFT JOIN s ON s.page_id = a.page_id AND s.target_row = a.target_row AND a.x <= s."column"),
         l AS (SELECT page_id, target_row, x, CASE WHEN c0 IS NULL THEN v1 WHEN c1 IS NULL OR c0 = c1 THEN v0 ELSE v0 + (x - c0) / CAST(c1 - c0 AS DOUBLE) * (v1 - v0) END AS v FROM b),
         p AS (SELECT page_id, y, x FROM page, range(280) q(y), cx),
         u AS (SELECT p.*, l.target_row AS r0, l.v AS v0 FROM p ASOF LEFT JOIN l ON l.page_id = p.page_id AND l.x = p.x AND p.y >= l.target_row),
         w AS (SELECT u.*, l.target_row AS r1, l.v AS v1 FROM u ASOF LEFT JOIN l ON l.page_id = u.page_id AND l.x = u.x AND u.y <= l.target_row)
-        SELECT page_id, y, CAST(x AS INT) AS x, round(CASE WHEN r0 = r1 THEN v0 ELSE v0 + (y - r0) / CAST(r1 - r0 AS DOUBLE) * (v1 - v0) END, 4) + 0 AS v FROM w""",
+        SELECT page_id, y, count(*) AS n, round(min(v), 4) + 0 AS low, round(max(v), 4) + 0 AS high, CAST(floor(sum(v) * 8 + 0.37) AS BIGINT) AS eighths
+        FROM (SELECT page_id, y, CASE WHEN r0 = r1 THEN v0 ELSE v0 + (y - r0) / CAST(r1 - r0 AS DOUBLE) * (v1 - v0) END AS v FROM w) GROUP BY ALL""",
     "scored_pages": f"""WITH {RASTER} SELECT page_id, y, x, true AS staff, false AS symbols, false AS stems_rests, true AS noteheads, false AS clefs_keys FROM px""",
     "zone_lines": f"""WITH {ZONE_STAFF} SELECT series_id, CAST(staff AS INT) AS staff, ['FIRST', 'SECOND', 'THIRD', 'FOURTH', 'FIFTH'][row_number() OVER (PARTITION BY series_id, staff ORDER BY y_centre DESC)] AS "position",
         n, x_min, x_max, round(x_centre, 4) + 0 AS x_centre, y_min, y_max, round(y_centre, 4) + 0 AS y_centre, round(slope, 6) + 0 AS slope FROM lines""",
@@ -202,6 +207,14 @@ ORACLES = {
     "remap_mask": f"WITH {MATRIX}, {remapped('CASE WHEN m.v > 0 THEN 1.0 ELSE 0.0 END', 'y + 0.5')} SELECT page_id, y, x, round(v, 9) > 0 AS \"on\" FROM out",
     "snapshot_changes": """SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER o AS b, row_number() OVER o AS k FROM events WINDOW o AS (PARTITION BY user_id ORDER BY event_id))
         WHERE k = 1 OR event_type IS DISTINCT FROM b""",
+    "stream_changes": """SELECT CAST(user_id AS VARCHAR) AS "user", event_id, event_type FROM (SELECT *, lag(event_type) OVER o AS b, row_number() OVER o AS k FROM events
+        WINDOW o AS (PARTITION BY user_id ORDER BY event_id)) WHERE k = 1 OR event_type IS DISTINCT FROM b""",
+    "scored_runs": f"""WITH {RASTER}, tile AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i, j) AS seq, oy, ox
+            FROM page, (VALUES (0, 0), (1, 24), (2, 24)) a(i, oy), (VALUES (0, 0), (1, 128), (2, 256), (3, 384), (4, 464), (5, 464)) b(j, ox)),
+        ink AS (SELECT t.page_id, t.seq, count(p.x) AS n FROM tile t LEFT JOIN px p ON p.page_id = t.page_id AND p.y >= oy AND p.y < oy + 256 AND p.x >= ox AND p.x < ox + 256 GROUP BY ALL),
+        low AS (SELECT page_id, min(seq) FILTER (n < 3090) AS seq FROM ink GROUP BY 1)
+        SELECT page_id, CASE WHEN low.seq IS NULL THEN 'Completed' ELSE 'Failed' END AS state, CASE WHEN low.seq IS NOT NULL THEN n || ' pixels of ink are too few' END AS message,
+        CASE WHEN low.seq IS NULL THEN 18 END AS n_tiles FROM low LEFT JOIN ink USING (page_id, seq)""",
     "run_state_counts": """SELECT CASE o_orderstatus WHEN 'P' THEN 'Recognizing' WHEN 'F' THEN 'Completed' ELSE 'Failed' END AS state, count(*) AS n,
         count(*) FILTER (o_orderstatus NOT IN ('P', 'F')) AS n_messages FROM orders GROUP BY 1""",
     "name_functions": r"""WITH n AS (SELECT doc_id, source || ':a/b.' || lang || CASE WHEN doc_id % 4 = 0 THEN '' ELSE '.Pdf' END AS name FROM documents)

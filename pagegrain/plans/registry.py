@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,11 +11,14 @@ from ..functions import scalars as S
 from ..operators import dewarp as W
 from ..operators import geometry as G
 from ..operators import library as L
+from ..operators import recognition as C
 from ..operators import raster as R
 from ..operators import series as Z
 from ..operators import tiles as T
 from ..sources import imports as I
 from ..sources import standins as D
+from ..sources.shared import shared_folder, written
+from .page_oracles import SMALL_AREA
 
 QUERIES: dict = {}
 
@@ -88,6 +93,15 @@ def lib_replace_delete(spark, d):
     return L.delete_rows(L.replace_rows(s, rows), s.filter("id % 3 = 0")).select("id", "title")
 
 
+@query
+def lib_inserts(spark, d):
+    """Every tenth score once more without an id, and as many with ids of their own."""
+    s = D.library(spark, d)
+    some = s.filter("id % 10 = 0").withColumn("title", F.concat("title", F.lit(" "), F.col("id").cast("string")))
+    rows = some.withColumn("id", F.lit(0).cast("long")).unionByName(some.withColumn("id", -F.col("id") - 1))
+    return L.insert_rows(s, rows).select("id", "title")
+
+
 @query
 def lib_changed_views(spark, d):
     s = D.library(spark, d)
@@ -190,7 +204,7 @@ def staff_sizes(spark, d):
 @query
 def zone_lines(spark, d):
     """The flagship chain from a mask and a zone: columns 100 to 619 of each page."""
-    zones = D.staff_sizes(spark, d).select("page_id", F.lit(100).cast("long").alias("zone_left"), F.lit(620).cast("long").alias("zone_right"), "height")
+    zones = D.staff_sizes(spark, d).select("page_id", F.lit(100).cast("long").alias("zone_left"), F.lit(620).cast("long").alias("zone_right"), "width", "height")
     pixels = Z.in_zone(D.staff_pixels(spark, d), zones)
     found = Z.five_line_groups(Z.zone_density(pixels, zones)).select("series_id", "staff", "i", "unit")
     found = Z.assign_pixels(found, pixels.select(F.col("page_id").alias("series_id"), "y", "x"), 100)
@@ -243,6 +257,17 @@ def _ink_scorer(channels):
     return make
 
 
+def _dark_scorer(channels):
+    """Stands in for a model: dark is class 1 (of three channels) or 2 (of four), all else background."""
+
+    def make():
+        import numpy as np
+
+        return lambda pixels: np.eye(channels, dtype=np.float32)[(pixels[..., 0] < 128) * (channels - 2)]
+
+    return make
+
+
 @query
 def scored_pages(spark, d):
     """Pages cut into tiles, scored, merged and turned into masks."""
@@ -293,16 +318,24 @@ def raster_regions(spark, d):
 
 @query
 def raster_groups(spark, d):
-    grids = _grids(spark, d)
-    groups = R.region_groups(R.region_members(W.box_regions(grids)), grids)
+    groups = W.grouped(written(_grids(spark, d), "grids"))
     return groups.select("page_id", "id", "left", "top", "right", "bottom", F.array_join("grid_ids", ",").alias("grid_ids"))
 
 
+@query
+def page_geometry(spark, d):
+    grids = written(_grids(spark, d), "grids")
+    return W.page_geometry(grids, W.grouped(grids), D.staff_sizes(spark, d))
+
+
 @query
 def raster_bridges(spark, d):
-    """All boxes after bridging; the walk is sequential and beyond SQL."""
-    grids = _grids(spark, d)
-    return W.bridge(grids, R.region_groups(R.region_members(W.box_regions(grids)), grids))
+    """All boxes after bridging, on pages whose gaps SQL can follow."""
+    sizes = D.gapped_sizes(spark, d)
+    grids = written(R.strip_grids(R.thicken(R.bands(D.gapped_lines(spark, d), sizes))), "grids")
+    most = grids.groupBy("page_id").agg(F.max("id").alias("most"))
+    boxes = W.bridge(grids, W.grouped(grids), sizes).join(most, "page_id")
+    return boxes.select("page_id", "left", "top", "right", "bottom", "owner", (F.col("id") > F.col("most")).alias("fills"))
 
 
 @query
@@ -312,9 +345,9 @@ def raster_majority(spark, d):
 
 
 def _points(spark, d):
-    grids = _grids(spark, d)
+    grids = written(_grids(spark, d), "grids")
     sizes = D.staff_sizes(spark, d)
-    return R.control_points(W.region_pixels(grids, W.box_regions(grids), sizes), sizes)
+    return R.control_points(W.region_columns(grids, W.box_regions(grids), sizes), sizes)
 
 
 @query
@@ -324,9 +357,46 @@ def mapping_points(spark, d):
 
 @query
 def row_maps(spark, d):
-    """The fractional source row of every twelfth column, from control points."""
+    """Of each row of a page the fractional source rows of its columns: their number, ends, and sum."""
     rows = W.row_map(_points(spark, d), D.staff_sizes(spark, d))
-    return rows.select("page_id", "y", F.posexplode("source").alias("x", "v")).filter("x % 12 = 5").select("page_id", "y", "x", _r("v").alias("v"))
+    total = F.aggregate("source", F.lit(0.0), lambda a, v: a + v)
+    return rows.select(
+        "page_id", "y", F.size("source").cast("long").alias("n"), _r(F.array_min("source")).alias("low"), _r(F.array_max("source")).alias("high"),
+        F.floor(total * 8 + 0.37).alias("eighths"),
+    )
+
+
+# images
+
+
+@query
+def image_planes(spark, d):
+    """The planes of images of bytes: width and sum of each row and channel."""
+    planes = T.channel_planes(D.images(spark, d))
+    total = F.aggregate("data", F.lit(0).cast("long"), lambda a, v: a + v)
+    return planes.select("page_id", "channel", "y", F.size("data").cast("long").alias("width"), total.alias("total"))
+
+
+def _image_pages(spark, d):
+    images = written(D.images(spark, d), "images")
+    return T.image_bands(images), images.select("page_id", F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"), F.lit(3).alias("depth"))
+
+
+@query
+def canonical_pages(spark, d):
+    """Images in canonical size (of a smaller area than the models'): sums of each row's channels."""
+    bands, _ = C.canonical(*_image_pages(spark, d), *SMALL_AREA)
+    sums = [F.expr(f"aggregate(filter(data, (v, i) -> i % 3 = {c}), 0L, (a, v) -> a + v)").alias(f"c{c}") for c in range(3)]
+    dark = F.expr("CAST(size(filter(data, (v, i) -> i % 3 = 0 AND v < 128)) AS BIGINT)").alias("dark")
+    return bands.select("page_id", "y", F.expr("CAST(size(data) div 3 AS BIGINT)").alias("width"), *sums, dark)
+
+
+@query
+def recognized_pages(spark, d):
+    """The whole chain from images to level layers: sums of each row."""
+    out = C.recognize(*_image_pages(spark, d), {name: _dark_scorer(m["channels"]) for name, m in T.MODELS.items()}, *SMALL_AREA)
+    total = F.aggregate("data", F.lit(0.0), lambda a, v: a + v)
+    return out.select("page_id", "layer", "y", F.floor(total + 0.37).alias("total"), "was_dewarped")
 
 
 # geometry
@@ -347,27 +417,30 @@ def interpolated_series(spark, d):
     return G.interpolate(sparse, ["series_id"], "i", "v", 0, spans).select("series_id", "i", _r("v").alias("v"))
 
 
+def _remapped(bands, source):
+    """Bands resampled by an expression of y for each column x of a row's 64."""
+    sizes = bands.groupBy("page_id").agg((F.max("y") + 1).alias("height"))
+    rows = bands.select("page_id", "y", F.expr(f"transform(sequence(0, 63), x -> CAST({source} AS DOUBLE))").alias("source"))
+    return W.remap_bands(bands, rows, sizes).select("page_id", "y", F.posexplode("data").alias("x", "v")).withColumn("x", F.col("x").cast("long"))
+
+
 @query
 def cubic_remap(spark, d):
-    m = D.matrix(spark, d)
-    heights = m.groupBy("page_id").agg((F.max("y") + 1).alias("height"))
-    coords = m.select("page_id", "y", "x", (F.col("y") + (F.col("x") % 8) * 0.25 - 1.5).alias("src"))
-    return G.remap_rows(m, coords, heights).select("page_id", "y", "x", _r("v", 4).alias("v"))
+    return _remapped(D.vector_bands(spark, d), "y + x % 8 * 0.25D - 1.5D").select("page_id", "y", "x", _r("v", 4).alias("v"))
 
 
 @query
 def remap_mask(spark, d):
-    m = D.matrix(spark, d).withColumn("v", (F.col("v") > 0).cast("double"))
-    heights = m.groupBy("page_id").agg((F.max("y") + 1).alias("height"))
-    coords = m.select("page_id", "y", "x", (F.col("y") + 0.5).alias("src"))
-    return G.remap_rows(m, coords, heights).select("page_id", "y", "x", (F.round("v", 9) > 0).alias("on"))
+    masks = D.vector_bands(spark, d).withColumn("data", F.transform("data", lambda v: (v > 0).cast("double")))
+    return _remapped(masks, "y + 0.5D").select("page_id", "y", "x", (F.round("v", 9) > 0).alias("on"))
 
 
 @query
 def straightened_pages(spark, d):
-    """The whole page chain on the staff pages; bridging is beyond SQL."""
-    bands = _bands(spark, d).select("page_id", F.lit("staff").alias("layer"), "y", F.col("data").cast("array<double>").alias("data"))
-    out = W.straighten(bands, D.staff_sizes(spark, d))
+    """The chain from a staff mask to a level one, on pages whose gaps SQL can follow."""
+    sizes = D.gapped_sizes(spark, d)
+    bands = R.bands(D.gapped_lines(spark, d), sizes).select("page_id", F.lit("staff").alias("layer"), "y", F.col("data").cast("array<double>").alias("data"))
+    out = W.straighten(written(bands, "layers"), sizes)
     return out.select("page_id", "layer", "y", F.expr("CAST(aggregate(data, 0D, (a, v) -> a + v) AS BIGINT)").alias("on_pixels"), "was_dewarped")
 
 
@@ -382,6 +455,46 @@ def snapshot_changes(spark, d):
     return V.changes(e, ["user_id"], ["event_id"], "event_type")
 
 
+@query
+def stream_changes(spark, d):
+    """Changes of each user's event type by a stateful stream; the events come in three parts, and the stream stops between them."""
+    from ..streaming import views as V
+
+    e = D.table(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").cast("long").alias("seq"), F.col("event_type").alias("value"))
+    low, high = e.agg(F.coalesce(F.min("seq"), F.lit(0)), F.coalesce(F.max("seq"), F.lit(0))).first()
+    folder = f"{shared_folder(spark)}/pagegrain/stream-{uuid.uuid4().hex}"
+    bounds = [low - 1, low + (high - low) // 3, low + 2 * (high - low) // 3, high]
+    for after, upto in zip(bounds, bounds[1:]):
+        e.filter((F.col("seq") > after) & (F.col("seq") <= upto)).write.mode("append").parquet(f"{folder}/in")
+        V.follow_changes(spark, f"{folder}/in", f"{folder}/out", f"{folder}/check")
+    out = spark.read.schema("key string, seq long, value string").parquet(f"{folder}/out")
+    return out.select(F.col("key").alias("user"), F.col("seq").alias("event_id"), F.col("value").alias("event_type"))
+
+
+def _least_ink_scorer(channels, least):
+    """As ``_ink_scorer``, but a batch with a tile of less ink fails."""
+
+    def make():
+        scorer = _ink_scorer(channels)()
+
+        def run(pixels):
+            ink = (pixels[..., 0] > 0).sum((1, 2)).min()
+            if ink < least:
+                raise ValueError(f"{ink} pixels of ink are too few")
+            return scorer(pixels)
+
+        return run
+
+    return make
+
+
+@query
+def scored_runs(spark, d):
+    """State of each page's run of a scorer that fails on some pages, and how many tiles the others have."""
+    good, states = C.score_runs(_bands(spark, d), D.staff_sizes(spark, d), "staff_and_symbols", _least_ink_scorer(3, 3090))
+    return states.join(good.groupBy("page_id").agg(F.count("*").alias("n_tiles")), "page_id", "left")
+
+
 @query
 def run_state_counts(spark, d):
     from ..streaming import views as V

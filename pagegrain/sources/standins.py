@@ -35,16 +35,11 @@ def sparse_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pixels (page_id, y, x): a page for each event type, y = user modulo 150, x = hour of January."""
+    """Pixels (page_id, y, x): a page for each event type, 150 users and 720 hours; y is the user, x the hour."""
     hour = F.expr("CAST((unix_seconds(CAST(ts AS TIMESTAMP)) - 1704067200) div 3600 AS BIGINT)")
-    return table(spark, sf_dir, "events").select(
-        F.col("event_type").alias("page_id"), (F.col("user_id") % 150).cast("long").alias("y"), F.pmod(hour, F.lit(720)).alias("x")
-    ).distinct()
-
-
-def raster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "events").select(F.col("event_type").alias("page_id")).distinct()
-    return pages.select("page_id", F.lit(720).cast("long").alias("width"), F.lit(150).cast("long").alias("height"))
+    events = table(spark, sf_dir, "events").select("event_type", F.col("user_id").cast("long").alias("user"), hour.alias("hour"))
+    page = F.concat_ws("/", "event_type", F.floor(F.col("user") / 150), F.floor(F.col("hour") / 720))
+    return events.select(page.alias("page_id"), F.pmod("user", F.lit(150)).alias("y"), F.pmod("hour", F.lit(720)).alias("x")).distinct()
 
 
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,12 +51,10 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pixels (page_id, y, x, v) of vectors as rows of pages 100 high and 64 wide."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("x", "v"))
-    return rows.select(
-        F.expr("CAST(vec_id div 100 AS STRING)").alias("page_id"), F.expr("CAST(vec_id % 100 AS BIGINT)").alias("y"), F.col("x").cast("long").alias("x"), "v"
-    )
+def vector_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as the rows (page_id, layer, y, data) of pages 100 high and 64 wide."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return vectors.select(F.expr("CAST(vec_id div 100 AS STRING)").alias("page_id"), F.lit("v").alias("layer"), F.expr("CAST(vec_id % 100 AS BIGINT)").alias("y"), F.col("embedding").cast("array<double>").alias("data"))
 
 
 #: Size of a page of staff lines.
@@ -91,3 +84,45 @@ def staff_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def staff_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = staff_segments(spark, sf_dir).select("page_id").distinct()
     return pages.select("page_id", F.lit(STAFF_WIDTH).cast("long").alias("width"), F.lit(STAFF_HEIGHT).cast("long").alias("height"))
+
+
+def gapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels (page_id, y, x) of pages of 15 lines, a line for each supplier: three segments with gaps, dropping by 0 to 2 pixels every 240."""
+    lines = table(spark, sf_dir, "supplier").select(
+        F.expr("CAST(s_suppkey div 15 AS STRING)").alias("page_id"), F.expr("10 + s_suppkey % 15 * 18").alias("top"), F.expr("s_suppkey % 3").alias("drop"),
+        F.expr("150 + s_suppkey * 37 % 60").alias("a"), F.expr("20 + s_suppkey * 13 % 70").alias("a_gap"),
+        F.expr("430 + s_suppkey * 53 % 60").alias("b"), F.expr("20 + s_suppkey * 29 % 90").alias("b_gap"),
+    )
+    spans = F.expr(f"array(named_struct('l', 0L, 'r', a), named_struct('l', a + a_gap, 'r', b), named_struct('l', b + b_gap, 'r', {STAFF_WIDTH}L))")
+    drawn = lines.select("page_id", "top", "drop", F.explode(spans).alias("s")).select("page_id", "top", "drop", F.explode(F.expr("sequence(s.l, s.r - 1)")).alias("x"))
+    return drawn.select("page_id", F.expr("CAST(top + x * drop div 240 AS BIGINT)").alias("y"), "x")
+
+
+def gapped_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "supplier").select(F.expr("CAST(s_suppkey div 15 AS STRING)").alias("page_id")).distinct()
+    return pages.select("page_id", F.lit(STAFF_WIDTH).cast("long").alias("width"), F.lit(STAFF_HEIGHT).cast("long").alias("height"))
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images (page_id, width, height, channels, data: bytes, blue first, with alpha) of the pages of gapped lines.
+
+    Pages with an odd number have half the size: of each two by two pixels the
+    last one.  Ink is 20, 40, 60 on paper of 230, 235, 240.
+    """
+    scale = F.expr("CAST(page_id AS BIGINT) % 2 + 1")
+    spots = gapped_lines(spark, sf_dir).withColumn("k", scale).filter("k = 1 OR x % 2 = 1")
+    # a line of one pixel must not fall between the rows that stay
+    spots = spots.select("page_id", F.expr("y div k").alias("y"), F.expr("x div k").alias("x")).distinct()
+    sizes = gapped_sizes(spark, sf_dir).withColumn("k", scale)
+    sizes = sizes.select("page_id", F.expr("width div k").alias("width"), F.expr("height div k").alias("height"))
+    rows = spots.groupBy("page_id", "y").agg(F.array_sort(F.collect_set("x")).alias("xs"))
+    every = sizes.select("page_id", "width", "height", F.explode(F.expr("sequence(0L, height - 1)")).alias("y"))
+    joined = every.join(rows, ["page_id", "y"], "left")
+    paper, ink = "'E6EBF0FF'", "'14283CFF'"
+    bits = F.expr(
+        f"IF(xs IS NULL, repeat({paper}, CAST(width AS INT)), array_join(flatten(array(transform(xs, (x, i) -> concat(repeat({paper}, "
+        f"CAST(x - IF(i = 0, -1L, xs[i - 1]) - 1 AS INT)), {ink})), array(repeat({paper}, CAST(width - 1 - xs[size(xs) - 1] AS INT))))), ''))"
+    )
+    lines = joined.select("page_id", "width", "height", "y", bits.alias("bits"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "bits"))), lambda r: r["bits"]), "")
+    return lines.groupBy("page_id", "width", "height").agg(F.unhex(whole).alias("data")).select("page_id", "width", "height", F.lit(4).alias("channels"), "data")

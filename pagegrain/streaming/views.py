@@ -21,10 +21,8 @@ def live_view(
 ):
     """Watches a folder of Parquet files; whenever files come, ``plan`` runs over all that is stored and ``emit`` gets the result.
 
-    What is stored is the folder's files, or what ``read`` gives: over a
-    ``ScoreStore``, whose folder holds one snapshot beside the other, pass the
-    store's ``read``, which is the newest.  ``plan`` may read parameters when it
-    is called, so each emission combines the latest of all.
+    What is stored is the folder's files, or what ``read`` gives.  ``plan`` may
+    read parameters when it is called, so each emission combines the latest of all.
     """
     stored = read or (lambda: spark.read.schema(schema).parquet(folder))
 
@@ -54,30 +52,47 @@ def changes(snapshots: DataFrame, keys: list[str], order: list[str], value: str)
 
 
 class _LastValue(StatefulProcessor):
-    """Keeps the last value of a key and lets only changes through."""
+    """Keeps the last value of a key and lets only changes through; a key's rows of a batch are taken in order of seq."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "value string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            frame = frame.sort_values("seq")
-            for seq, value in zip(frame["seq"], frame["value"]):
-                old = self.last.get() if self.last.exists() else None
-                if old is None or old[0] != value:
-                    self.last.update((value,))
-                    yield pd.DataFrame({"key": [key[0]], "seq": [int(seq)], "value": [value]})
+        frame = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        values = [None if pd.isna(v) else v for v in frame["value"]]
+        before = [self.last.get()[0] if self.last.exists() else _NOTHING, *values]
+        kept = [(int(seq), new) for seq, old, new in zip(frame["seq"], before, values) if old is _NOTHING or old != new]
+        if kept:
+            self.last.update((kept[-1][1],))
+            yield pd.DataFrame({"key": [key[0]] * len(kept), "seq": [seq for seq, _ in kept], "value": [value for _, value in kept]})
 
     def close(self) -> None:
         pass
 
 
+_NOTHING = object()
+STORE, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def stream_changes(stream: DataFrame) -> DataFrame:
-    """(key, seq, value) of a stream, without repeats of a key's last value."""
+    """(key, seq, value) of a stream, without repeats of a key's last value; its state needs the session's ``STORE`` to be ``ROCKS``."""
     rows = stream.select(F.col("key").cast("string"), F.col("seq").cast("long"), F.col("value").cast("string"))
     return rows.groupBy("key").transformWithStateInPandas(_LastValue(), "key string, seq long, value string", "Append", "None")
 
 
+def follow_changes(spark: SparkSession, source: str, target: str, checkpoint: str) -> None:
+    """Takes what came to ``source`` (a folder of Parquet files of key, seq, value) since the checkpoint's last run and
+    appends its changes to ``target``; a key's last value outlives the run."""
+    kept = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        stream = spark.readStream.schema("key string, seq long, value string").parquet(source)
+        out = stream_changes(stream).writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")
+        out.trigger(availableNow=True).start(target).awaitTermination()
+    finally:
+        spark.conf.unset(STORE) if kept is None else spark.conf.set(STORE, kept)
+
+
 def run_states(events: DataFrame) -> DataFrame:
     """run_id, state, message of runs (run_id, ok, message): Recognizing while ok is null, then Completed or Failed."""
     state = F.when(F.col("ok").isNull(), "Recognizing").when(F.col("ok"), "Completed").otherwise("Failed")

@@ -1,13 +1,13 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import __spark_entry__ as entry
 import oracle
 from pagegrain.operators import dewarp, geometry, raster, series, tiles
 from pagegrain.operators import library as L
 from pagegrain.sources import imports
-from pagegrain.sources.store import ScoreStore
 from pagegrain.streaming import views
 
 # Small inputs and what must come of them (peaks, grids, mappings, zones) are fixed values.
@@ -95,9 +95,8 @@ def test_regions_equal_a_flood_fill(spark):
 
 def test_mapping_and_row_map(spark):
     sizes = spark.createDataFrame([("p", 20, 10)], "page_id string, width long, height long")
-    spots = [("p", 1, y, x) for y in (3, 4, 5) for x in range(20)] + [("p", 2, 7, x) for x in range(3)]
-    regions = spark.createDataFrame(spots, "page_id string, region int, y long, x long")
-    points = {(r.target_row, r.column, r.source_row) for r in raster.control_points(regions, sizes).collect()}
+    columns = spark.createDataFrame([("p", 1, x, 3, 12) for x in range(20)] + [("p", 2, x, 1, 7) for x in range(3)], "page_id string, region int, x long, n long, total long")
+    points = {(r.target_row, r.column, r.source_row) for r in raster.control_points(columns, sizes).collect()}
     assert points == {(4, 0, 4), (4, 10, 4)} | {(y, x, y) for y in (0, 9) for x in range(20)}
     thin = spark.createDataFrame([("p", 0, 0, 0), ("p", 2, 0, 5), ("p", 4, 0, 4)], "page_id string, target_row long, column long, source_row long")
     tall = spark.createDataFrame([("p", 1, 5)], "page_id string, width long, height long")
@@ -129,19 +128,20 @@ def test_bridge_fills_a_gap(spark):
     masks, sizes = page(spark, rows)
     grids = raster.strip_grids(masks)
     groups = raster.region_groups(raster.region_members(dewarp.box_regions(grids)), grids)
-    boxes = dewarp.bridge(grids, groups)
+    boxes = dewarp.bridge(grids, groups, sizes)
     new = sorted((r.left, r.top, r.right, r.bottom) for r in boxes.collect() if r.id >= grids.count())
     assert groups.count() == 2 and new == [(x, 15, x + 11, 18) for x in (33, 44, 55)]
     regions = dewarp.box_regions(boxes)
     assert {r.region for r in regions.collect()} == {1}
-    assert dewarp.region_pixels(boxes, regions, sizes).count() == 3 * 132
+    columns = dewarp.region_columns(boxes, regions, sizes).collect()
+    assert len(columns) == 132 and {(r.n, r.total) for r in columns} == {(3, 15 + 16 + 17)}
 
 
 def test_bridges_leave_alone(spark):
     for rows in ([[15 <= y < 18 and (x < 11 or x >= 121) for x in range(132)] for y in range(40)], [[15 <= y < 18] * 22 for y in range(40)]):
-        grids = raster.strip_grids(page(spark, rows)[0])
-        groups = raster.region_groups(raster.region_members(dewarp.box_regions(grids)), grids)
-        assert dewarp.bridge(grids, groups).count() == grids.count()
+        masks, sizes = page(spark, rows)
+        grids = raster.strip_grids(masks)
+        assert dewarp.bridge(grids, dewarp.grouped(grids), sizes).count() == grids.count()
 
 
 def test_straighten(spark):
@@ -158,7 +158,7 @@ def test_straighten(spark):
     bent = layers.filter("page_id = 'bent' AND layer = 'staff'").select("page_id", "y", F.col("data").cast("array<int>").alias("data"))
     grids = raster.strip_grids(raster.thicken(bent))
     sizes = sizes.filter("page_id = 'bent'")
-    points = raster.control_points(dewarp.region_pixels(grids, dewarp.box_regions(grids), sizes), sizes)
+    points = raster.control_points(dewarp.region_columns(grids, dewarp.box_regions(grids), sizes), sizes)
     source = dewarp.row_map(points, sizes).filter("y = 16").first().source
     assert (source[0], source[30], source[50]) == (16, 17, 18)
 
@@ -169,27 +169,33 @@ def test_line_fit_needs_two_points(spark):
         geometry.fit_lines(one, ["k"]).collect()
 
 
-def test_store(spark, tmp_path):
-    store = ScoreStore(spark, f"file://{tmp_path}/scores")
-    row = lambda i, t: (i, t, t + ".pdf", None, 5, None, 1, False, 0, 1.0, 0.0, None)
-    store.insert(spark.createDataFrame([row(0, "b"), row(0, "a")], L.SCHEMA))
-    assert {(r.id, r.title) for r in store.read().collect()} == {(1, "a"), (2, "b")}
-    with pytest.raises(ValueError):
-        store.insert(spark.createDataFrame([row(2, "c")], L.SCHEMA))
-    store.update(spark.createDataFrame([row(2, "B"), row(9, "none")], L.SCHEMA))
-    store.change(lambda s: L.toggle_favorite(s, 1))
-    store.delete(2)
-    assert [(r.id, r.title, r.is_favorite) for r in store.read().collect()] == [(1, "a", True)]
-    seen = store.version()
-    stale = L.toggle_favorite(store.read(), 1)
-    store.change(lambda s: L.rename(s, 1, "c"))
-    with pytest.raises(RuntimeError, match="another writer"):
-        store.write(stale, after=seen)
-    told = []
-    views.live_view(
-        spark, store.folder, L.SCHEMA, lambda s: L.search(s, "c"), lambda df, n: told.append([r.title for r in df.collect()]), f"file://{tmp_path}/check", store.read
-    ).awaitTermination()
-    assert told == [["c"]]  # the newest snapshot alone
+def test_inserts_and_deletes(spark, tmp_path):
+    row = lambda i, t: (i, t, f"file://{tmp_path}/{t}.pdf", None, 5, None, 1, False, 0, 1.0, 0.0, None)
+    loose = T.StructType([T.StructField(f.name, f.dataType) for f in L.SCHEMA])
+    table = lambda *rows: spark.createDataFrame([row(*r) for r in rows], loose)
+    scores = table((4, "d"), (7, "g"))
+    got = L.insert_rows(scores, table((0, "b"), (None, "a"), (9, "i"), (0, "c")))
+    assert {(r.id, r.title) for r in got.collect()} == {(4, "d"), (7, "g"), (9, "i"), (10, "a"), (11, "b"), (12, "c")}
+    for rows in (table((7, "x")), table((8, "x"), (8, "y"))):
+        with pytest.raises(Exception, match="this id exists"):
+            L.insert_rows(scores, rows).collect()
+    assert L.insert_rows(table(), table((0, "b"))).first().id == 1
+    (tmp_path / "g.pdf").write_text("x")
+    assert [r.id for r in L.delete_with_files(scores, 7).collect()] == [4] and not (tmp_path / "g.pdf").exists()
+    assert L.delete_with_files(scores, 4).count() == 1  # its file was never there
+    many = spark.range(1000).select(F.expr("CAST((id * 37) % 1000 AS STRING)").alias("title"))
+    numbers = {r.title: r.number for r in L.numbered(many, [F.col("title")]).collect()}
+    assert numbers == {t: n for n, t in enumerate(sorted(numbers), 1)}
+
+
+def test_live_view_sees_all_that_is_stored(spark, tmp_path):
+    folder, told = f"file://{tmp_path}/scores", []
+    for titles in (["a", "c"], ["ac"]):
+        spark.createDataFrame([(t,) for t in titles], "title string").write.mode("append").parquet(folder)
+        views.live_view(
+            spark, folder, "title string", lambda s: L.search(s, "c"), lambda df, n: told.append(sorted(r.title for r in df.collect())), f"file://{tmp_path}/check"
+        ).awaitTermination()
+    assert told == [["c"], ["ac", "c"]]
 
 
 def test_event_log_gives_each_event_once(spark, tmp_path):
@@ -200,13 +206,24 @@ def test_event_log_gives_each_event_once(spark, tmp_path):
     assert told == [["a", "b"], ["c"]]
 
 
-def test_changes_of_a_stream(spark, tmp_path):
+def test_changes_of_snapshots(spark):
     rows = [("a", 1, "x"), ("a", 2, "x"), ("b", 1, "x"), ("a", 3, "y"), ("b", 2, "x"), ("a", 4, "x")]
     df = spark.createDataFrame(rows, "key string, seq long, value string")
     want = {("a", 1, "x"), ("a", 3, "y"), ("a", 4, "x"), ("b", 1, "x")}
     assert {tuple(r) for r in views.changes(df, ["key"], ["seq"], "value").collect()} == want
 
 
+def test_changes_of_a_stream(spark, tmp_path):
+    """Two runs of the stream; a key's last value, null ones too, is known to the second."""
+    parts = [[("a", 1, "x"), ("a", 2, "x"), ("b", 1, None), ("a", 3, "y")], [("b", 2, None), ("a", 4, "y"), ("a", 5, "x"), ("b", 3, "z"), ("c", 9, "q")]]
+    folder = f"file://{tmp_path}"
+    for part in parts:
+        spark.createDataFrame(part, "key string, seq long, value string").write.mode("append").parquet(f"{folder}/in")
+        views.follow_changes(spark, f"{folder}/in", f"{folder}/out", f"{folder}/check")
+    got = {tuple(r) for r in spark.read.parquet(f"{folder}/out").select("key", "seq", "value").collect()}
+    assert got == {("a", 1, "x"), ("a", 3, "y"), ("a", 5, "x"), ("b", 1, None), ("b", 3, "z"), ("c", 9, "q")}
+
+
 def names_of(spark, paths, taken=()):
     names = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "file_id long, name string")
     stored = spark.createDataFrame([(t,) for t in taken], "file string")
@@ -250,7 +267,7 @@ def test_library_orders(spark):
 
 def zone(spark, ys, width=30, height=140, left=0, right=30):
     pixels = spark.createDataFrame([("z", y, x) for y in ys for x in range(width)], "page_id string, y long, x long")
-    zones = spark.createDataFrame([("z", left, right, height)], "page_id string, zone_left long, zone_right long, height long")
+    zones = spark.createDataFrame([("z", left, right, width, height)], "page_id string, zone_left long, zone_right long, width long, height long")
     return series.five_line_groups(series.zone_density(pixels, zones)).collect()
 
 
@@ -259,7 +276,10 @@ def test_zones(spark):
     assert sorted((r.line, r.i) for r in found) == [(1, 88), (2, 76), (3, 64), (4, 52), (5, 40)] and {r.unit for r in found} == {12.0}
     assert zone(spark, [40, 52, 64, 76]) == []
     assert sorted(r.i for r in zone(spark, range(28, 101, 12))) == [28, 40, 52, 64, 76]
-    assert zone(spark, [40, 52, 64, 76, 88], width=15, left=15) == []
+    assert zone(spark, [40, 52, 64, 76, 88], width=15, left=15, right=15) == []
+    for left, right in ((-1, 5), (6, 5), (0, 31)):
+        with pytest.raises(Exception, match="does not lie on its page"):
+            zone(spark, [40], left=left, right=right)
 
 
 def test_tiles(spark):
