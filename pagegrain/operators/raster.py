@@ -21,7 +21,7 @@ def bands(pixels: DataFrame, sizes: DataFrame) -> DataFrame:
     """page_id, y, data of every row of pages (page_id, width, height), on where ``pixels`` (page_id, y, x) has a row."""
     rows = pixels.groupBy("page_id", "y").agg(F.array_sort(F.collect_set("x")).alias("xs"))
     every = sizes.select("page_id", "width", F.explode(F.sequence(F.lit(0).cast("long"), F.col("height") - 1)).alias("y"))
-    joined = every.join(rows, ["page_id", "y"], "left").withColumn("xs", F.coalesce("xs", F.expr("CAST(array() AS array<bigint>)")))
+    joined = spread(every, "page_id", "y").join(rows, ["page_id", "y"], "left").withColumn("xs", F.coalesce("xs", F.expr("CAST(array() AS array<bigint>)")))
     # the gaps before each pixel and after the last one, as runs of zeros
     runs = F.expr("transform(xs, (x, i) -> concat(array_repeat(0, CAST(x - IF(i = 0, -1, xs[i - 1]) - 1 AS INT)), array(1)))")
     rest = F.expr("array_repeat(0, CAST(width - 1 - IF(size(xs) = 0, -1, xs[size(xs) - 1]) AS INT))")
@@ -37,11 +37,19 @@ def pixels(masks: DataFrame) -> DataFrame:
 BLOCK_ROWS = 128
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Dealt by the keys to as many tasks as the session shuffles to.
+
+    Rasters are few bytes and much work, so sizes in bytes must not join their partitions.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def blocks(rows: DataFrame, before: int, after: int) -> DataFrame:
     """Adds block to rows (page_id, y, ...): each row comes once for its own block and for those that have it
     among the ``before`` rows above them or the ``after`` rows below them."""
     reach = F.sequence(F.floor(F.greatest(F.col("y") - after, F.lit(0)) / BLOCK_ROWS), F.floor((F.col("y") + before) / BLOCK_ROWS))
-    return rows.withColumn("block", F.explode(reach))
+    return spread(rows.withColumn("block", F.explode(reach)), "page_id", "block")
 
 
 def matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:

@@ -287,10 +287,10 @@ def test_tiles(spark):
     bands = spark.createDataFrame([("p", y, [10 * y + x for x in range(6)]) for y in range(3)], "page_id string, y long, data array<int>")
     pages = spark.createDataFrame([("p", 6, 3, 4, "m")], "page_id string, width long, height long, window long, model string")
     cut = {r.tile_seq: r for r in tiles.cut_tiles(bands, pages, 2).collect()}
-    assert [(r.ox, r.oy) for _, r in sorted(cut.items())] == [(0, 0), (2, 0), (2, 0)] * 2 and cut[0].pix == [0, 1, 2, 3, 10, 11, 12, 13, 20, 21, 22, 23, 20, 21, 22, 23]
+    assert [(r.ox, r.oy) for _, r in sorted(cut.items())] == [(0, 0), (2, 0), (2, 0)] * 2 and cut[0].pix == bytes([0, 1, 2, 3, 10, 11, 12, 13, 20, 21, 22, 23, 20, 21, 22, 23])
     narrow = spark.createDataFrame([("p", 2, 2, 4, "m")], "page_id string, width long, height long, window long, model string")
     small = spark.createDataFrame([("p", 0, [1, 2]), ("p", 1, [3, 4])], "page_id string, y long, data array<int>")
-    assert tiles.cut_tiles(small, narrow, 2).first().pix == [1, 2, 2, 2, 3, 4, 4, 4, 3, 4, 4, 4, 3, 4, 4, 4]
+    assert tiles.cut_tiles(small, narrow, 2).first().pix == bytes([1, 2, 2, 2, 3, 4, 4, 4, 3, 4, 4, 4, 3, 4, 4, 4])
     scored = tiles.score_tiles(tiles.cut_tiles(bands, pages, 2), lambda: lambda p: np.concatenate([p, 255 - p], -1), 2)
     sizes = spark.createDataFrame([("p", 7, 2)], "page_id string, width long, height long")
     merged = {r.y: r for r in tiles.merge_tiles(scored, sizes).collect()}
