@@ -21,7 +21,7 @@ def bands(pixels: DataFrame, sizes: DataFrame) -> DataFrame:
     """page_id, y, data of every row of pages (page_id, width, height), on where ``pixels`` (page_id, y, x) has a row."""
     rows = pixels.groupBy("page_id", "y").agg(F.array_sort(F.collect_set("x")).alias("xs"))
     every = sizes.select("page_id", "width", F.explode(F.sequence(F.lit(0).cast("long"), F.col("height") - 1)).alias("y"))
-    joined = spread(every, "page_id", "y").join(rows, ["page_id", "y"], "left").withColumn("xs", F.coalesce("xs", F.expr("CAST(array() AS array<bigint>)")))
+    joined = spread(every.join(rows, ["page_id", "y"], "left"), "page_id", "y").withColumn("xs", F.coalesce("xs", F.expr("CAST(array() AS array<bigint>)")))
     # the gaps before each pixel and after the last one, as runs of zeros
     runs = F.expr("transform(xs, (x, i) -> concat(array_repeat(0, CAST(x - IF(i = 0, -1, xs[i - 1]) - 1 AS INT)), array(1)))")
     rest = F.expr("array_repeat(0, CAST(width - 1 - IF(size(xs) = 0, -1, xs[size(xs) - 1]) AS INT))")
