@@ -69,7 +69,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Compression, MinHash and tokenizing are beyond SQL; tests/llm/test_pipeline.py holds run() against brute force.
+#: Compression, MinHash and tokenizing are beyond SQL; tests/llm/test_queries.py holds run() against brute force.
 ORACLE_SQL = None
 
 

@@ -163,7 +163,10 @@ def filter_urls(
     keyed = rows.filter("host <> ''").select("host", "shape", number.alias("key"))
     counted = keyed.groupBy("host", "shape", "key").agg(F.count("*").alias("n"))
     once = labels.groupBy("key").agg(F.max(F.col("bad").cast("long")).alias("bad"))
-    tree = written(template_tree(counted.join(once, "key", "left").select("host", "shape", "bad", "n"), **options), "tree")
+    # shapes without a number have no label: only the others meet the labels, so null keys never share a task
+    labelled = counted.filter("key IS NOT NULL").join(once, "key", "left").select("host", "shape", "bad", "n")
+    bare = counted.filter("key IS NULL").select("host", "shape", F.lit(None).cast("long").alias("bad"), "n")
+    tree = written(template_tree(labelled.unionByName(bare), **options), "tree")
     rule, verdict = match_rule(F.col("host"), F.col("path"), rules)
     other = F.when(F.coalesce("rejected", F.lit(False)), F.lit("block")).otherwise(F.lit("allow"))
     known = join_salted(rows.filter("host <> ''"), tree, ["host", "shape"], "n", rows.count(), ["page_id", "path"]).drop("n")

@@ -158,6 +158,20 @@ def test_url_branches_without_labels_keep_their_names(spark):
     assert got["h.org", "spam", "x"].rejected and not got["h.org", "ham", "x"].rejected and not got["i.org", "a"].rejected
 
 
+def test_urls_without_numbers_on_one_host(spark):
+    """Nine tenths of the shapes have no number; they leave the others' labels as they are, also beside a label without key."""
+    urls = [f"http://h.org/{kind}/{i}.html" for kind, least in (("spam", 0), ("good", 1000)) for i in range(least, least + 40)]
+    bare = [f"http://h.org/page/w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(650)] + ["http://h.org/page/w"] * 70
+    labels = spark.createDataFrame([(i, 1) for i in range(40)] + [(1000 + i, 0) for i in range(40)] + [(None, 1)], "key long, bad long")
+    verdicts = {}
+    for some in (urls, urls + bare):
+        pages = spark.createDataFrame(list(enumerate(some)), "page_id long, url string")
+        verdicts[len(some)] = {r.page_id: r.verdict for r in url_filter.filter_urls(pages, labels, ()).collect()}
+    few, all_ = verdicts.values()
+    assert [all_[i] for i in range(80)] == [few[i] for i in range(80)] == ["block"] * 40 + ["allow"] * 40
+    assert {all_[i] for i in range(80, 800)} == {"allow"} and len(all_) == 800
+
+
 def test_url_templates_reach_every_level(spark):
     urls = [f"http://h.org/a/b/c/d/{kind}/e/{i}.html" for kind, least in (("spam", 0), ("good", 1000)) for i in range(least, least + 60)]
     urls += ["http://h.org/a/b", "http://h.org/" + "x/" * 11 + "y"]
