@@ -192,6 +192,8 @@ ORACLES = {
         CAST(CASE WHEN file IS NULL THEN NULL WHEN f.file_id % 3 = 0 THEN greatest(1, f.pages) ELSE 1 END AS INT) AS page_count FROM f LEFT JOIN filed USING (file_id)""".replace("page_id_ok", "file_id % 3 < 2").replace("\\\\", "\\"),
     "raster_majority": f"""WITH {EVENTS}, n AS (SELECT page_id, y // 10 AS block, x % 7 AS label, count(*) AS k FROM px GROUP BY ALL)
         SELECT DISTINCT page_id, block, first_value(label) OVER (PARTITION BY page_id, block ORDER BY k DESC, label) AS label FROM n""",
+    "raster_majority_where": f"""WITH {EVENTS}, n AS (SELECT page_id, y // 10 AS block, x % 7 AS label, count(*) FILTER (x % 7 % 2 = 0) AS k FROM px GROUP BY ALL)
+        SELECT DISTINCT page_id, block, first_value(CASE WHEN k > 0 THEN label END) OVER (PARTITION BY page_id, block ORDER BY k DESC, label) AS label FROM n""",
     "raster_regions": f"""WITH RECURSIVE {EVENTS}, lab AS (SELECT page_id, y, x, y * 720 + x AS root FROM px
         UNION SELECT p.page_id, p.y, p.x, l.root FROM lab l JOIN px p ON p.page_id = l.page_id AND abs(p.y - l.y) + abs(p.x - l.x) = 1 AND l.root < p.y * 720 + p.x),
         low AS (SELECT page_id, y, x, min(root) AS root FROM lab GROUP BY ALL)

@@ -344,6 +344,13 @@ def raster_majority(spark, d):
     return R.majority(labels, ["page_id", "block"], "label")
 
 
+@query
+def raster_majority_where(spark, d):
+    """As above among the even labels; null where a block has none."""
+    labels = D.raster(spark, d).select("page_id", F.expr("y div 10").alias("block"), (F.col("x") % 7).alias("label"))
+    return R.majority(labels, ["page_id", "block"], "label", F.col("label") % 2 == 0)
+
+
 def _points(spark, d):
     grids = written(_grids(spark, d), "grids")
     sizes = D.staff_sizes(spark, d)
