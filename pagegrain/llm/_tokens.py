@@ -120,6 +120,9 @@ class ByteLevelIds:
     white space splits as at the end, go to the library whole.
     """
 
+    #: What an instance keeps, where that is not ``KEEP_BYTES``.
+    keep_bytes: int | None = None
+
     def __init__(self, path: str):
         self.library = vocabulary(path)
         size = self.library.get_vocab_size()
@@ -207,7 +210,7 @@ class ByteLevelIds:
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (no nulls), one after the other, and each text's bounds in them."""
-        if self.held > KEEP_BYTES:
+        if self.held > (self.keep_bytes or KEEP_BYTES):
             self.clear()
         texts = column.to_pylist()
         hard = np.flatnonzero(self.hard_rows(column, texts))

@@ -22,7 +22,9 @@ from ._tokens import ByteLevelIds, kept
 #: Bytes that the rolling hash sees, bits of it that are zero at a border, and bytes of the shortest chunk but a text's last.
 WINDOW, BITS, SHORTEST = 16, 9, 64
 #: Bytes of strings and ids that a Python worker keeps from task to task; then it starts anew.
-KEPT_BYTES = 64 << 20
+KEPT_BYTES = 32 << 20
+#: The same of the pieces that new chunks and joins are encoded from.
+PIECES_BYTES = 48 << 20
 #: Text bytes of a batch.
 BATCH = 1 << 20
 
@@ -60,7 +62,8 @@ class Encoder:
     """Ids of strings, each distinct one encoded once; what is kept is bounded by its bytes."""
 
     def __init__(self, path: str):
-        self.fresh_ids = kept(ByteLevelIds, path)
+        self.fresh_ids = ByteLevelIds(path)
+        self.fresh_ids.keep_bytes = PIECES_BYTES
         special = {i: len(t.content.encode()) for i, t in self.fresh_ids.library.get_added_tokens_decoder().items()}
         self.lengths = np.array([special.get(i, n) for i, n in enumerate(self.fresh_ids.lengths.tolist())], np.int64)
         self.clear()
