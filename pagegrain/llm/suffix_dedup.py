@@ -6,7 +6,9 @@ of windows that share an anchor (super-windows) are grouped by it, and runs
 equal as a whole are one kind.  Of anchors with several kinds one text of each
 is sorted by suffixes; previous and next smaller positions in that order give
 the longest previous factor of every window start, and a factor of ``length``
-bytes is an earlier equal window.
+bytes is an earlier equal window.  An anchor of very many kinds is split: the
+runs' windows are dealt by how far before the anchor they start, and meet by
+the longer text that those have in common.
 """
 
 from __future__ import annotations
@@ -17,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import RangeHash, dropped, id_text, join_salted, slices, view, written
+from ._text import RangeHash, dropped, id_text, join_salted, mix, slices, view, written
 
 #: Bytes of a k-gram; a window of length L chooses among L - K + 1 of them.
 K = 100
 #: Window starts that one numpy step handles; longer texts go in steps.
 STEP = 1 << 18
-#: Kinds of runs of one anchor from which on windows are counted by Spark, one row each.
+#: Kinds of runs that one suffix sort's group may have; the runs of larger groups are split by a longer common text.
 HOT = 1024
 #: Bytes of run texts that one suffix sort handles, or one group's if that is more.
 SORT_BYTES = 1 << 19
@@ -249,30 +251,84 @@ def _bodies(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     return joined.mapInArrow(run, schema)
 
 
-def _counted_windows(bodies: DataFrame, length: int, earlier_only: bool) -> DataFrame:
-    """(anchor, content, runs) of hot anchors: a row for each window, counted by its hash."""
+def _split(bodies: DataFrame, length: int, k: int) -> DataFrame:
+    """Both halves of each run (anchor, content, first, body, at, lo, hi), grouped by a longer common text.
+
+    All windows of a run hold its anchor, ``at`` bytes from the run's start
+    (-1: not told yet), so a window is known by how far before the anchor it
+    starts, ``lo`` to ``hi`` bytes.  A half takes half of these distances, and
+    all its windows hold the bytes between the latest start and the earliest
+    end: equal windows have the same distance and meet in one group of halves.
+    of and its name the run, shift is the half's start in it, last its last window.
+    """
+    names = ["of", "its", "shift", "last", "anchor", "content", "doc_id", "digest", "first", "body", "at", "lo", "hi"]
+    kinds = [pa.binary() if n == "body" else pa.int64() for n in names]
 
     def run(batches):
         for batch in slices(batches, "body", STEP // 8):
+            column = {n: batch.column(i).to_numpy() for i, n in enumerate(batch.schema.names) if n != "body"}
             data, offsets = view(batch.column(batch.schema.get_field_index("body")))
-            counts = np.diff(offsets) - length + 1
-            row = np.repeat(np.arange(len(counts)), counts)
-            inside = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-            hashed = RangeHash(data)(offsets[row] + inside, offsets[row] + inside + length)
-            take = pa.array(row)
-            cols = [batch.column(batch.schema.get_field_index(c)).take(take) for c in ("anchor", "content", "doc_id", "digest", "first")]
-            cols += [pa.array(inside), pa.array(hashed.view(np.int64))]
-            yield pa.RecordBatch.from_arrays(cols, names=["anchor", "content", "doc_id", "digest", "first", "at", "window"])
-
-    rows = bodies.mapInArrow(run, "anchor long, content long, doc_id long, digest long, first long, at long, window long")
-    rows = written(rows.withColumn("place", F.struct("doc_id", "digest", (F.col("first") + F.col("at")).alias("at"))), "windows")
-    counted = rows.groupBy("anchor", "window").agg(F.count("*").alias("m"), F.min("place").alias("least")).filter("m > 1")
-    found = join_salted(rows, written(counted, "counted"), ["anchor", "window"], "m", rows.count(), ["content"])
-    if earlier_only:
-        found = found.filter("place <> least")
-    runs = F.array_sort(F.collect_set("at"))
-    single = F.transform(runs, lambda a: F.struct(a.alias("from"), a.alias("to")))
-    return found.groupBy("anchor", "content").agg(single.alias("runs"))
+            hashes = RangeHash(data)
+            base, last, at = offsets[:-1], np.diff(offsets) - length, column["at"].copy()
+            for i in np.flatnonzero(at < 0).tolist():
+                starts = base[i] + np.arange(last[i], length - k + 1)
+                at[i] = last[i] + int(np.argmax(hashes(starts, starts + k).view(np.int64) == column["anchor"][i]))
+            middle = (column["lo"] + column["hi"]) // 2
+            for lo, hi in ((column["lo"], middle), (middle + 1, column["hi"])):
+                least, most = np.maximum(lo, at - last), np.minimum(hi, at)
+                take = np.flatnonzero((least <= most) & (lo <= hi))
+                shift, least, most = (at - most)[take], least[take], most[take]
+                begin, p = base[take] + shift, (base + at)[take]
+                end = p - least + length
+                told = mix((lo * (length + 1) + hi)[take].astype(np.uint64) + np.uint64(1))
+                group = mix(hashes(p - lo[take], p - hi[take] + length) ^ told)
+                content = hashes(begin, end) ^ most.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                body = [data[a:b].tobytes() for a, b in zip(begin.tolist(), end.tolist())]
+                cols = [column["anchor"][take], column["content"][take], shift, most - least, group.view(np.int64), content.view(np.int64)]
+                cols += [column["doc_id"][take], column["digest"][take], column["first"][take] + shift, body, most, lo[take], hi[take]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
+
+    rows = bodies.select("anchor", "content", "doc_id", "digest", "first", "at", "lo", "hi", "body")
+    return rows.mapInArrow(run, ", ".join(f"`{n}` {'binary' if n == 'body' else 'long'}" for n in names))
+
+
+def _group_runs(bodies: DataFrame, length: int, k: int, earlier_only: bool, hot: int) -> DataFrame:
+    """(anchor, content, runs) of the runs with repeated windows, from one body of each kind of run.
+
+    Groups of ``hot`` kinds at most are sorted by suffixes in one task.  Larger
+    ones are split by a longer common text until they are as small: where all
+    windows of a group have one distance, that text is the window, and the
+    group has one kind.
+    """
+    plain = bodies.filter("NOT hot").repartition("anchor").sortWithinPartitions("anchor")
+    runs = plain.mapInArrow(_sorted_groups(length, earlier_only), "anchor long, content long, runs array<struct<from:bigint,to:bigint>>")
+    large = bodies.filter("hot")
+    if large.isEmpty():
+        return runs
+    parts = written(_split(large.dropDuplicates(["anchor", "content"]), length, k), "parts")
+    place = F.struct("doc_id", "digest", "first")
+    kinds = parts.groupBy("anchor", "content").agg(
+        F.count("*").alias("n"), F.min(place).alias("least"), F.first(F.struct("body", "at", "lo", "hi")).alias("one")
+    )
+    kinds = written(kinds, "kinds")
+    mixed = written(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "mixed")
+    wanted = join_salted(kinds, mixed, ["anchor"], "kinds", kinds.count(), ["content"])
+    wanted = written(wanted.select("anchor", "content", (F.col("kinds") > hot).alias("hot"), "least.*", "one.*"), "bodies")
+    inner = _group_runs(wanted, length, k, earlier_only, hot)
+    told = kinds.select("anchor", "content", "n", "least").join(inner.hint("shuffle_hash"), ["anchor", "content"], "left")
+    told = written(told.filter("n > 1 OR runs IS NOT NULL"), "told")
+    dropped(kinds, mixed, wanted)
+    hit = join_salted(parts.drop("body"), told, ["anchor", "content"], "n", parts.count(), ["its"])
+    whole = place != F.col("least") if earlier_only else F.col("n") > 1
+    everything = F.array(F.struct(F.lit(0).cast("long").alias("from"), F.col("last").alias("to")))
+    spans = F.transform(
+        F.when(whole, everything).otherwise(F.col("runs")),
+        lambda r: F.struct((r["from"] + F.col("shift")).alias("from"), (r["to"] + F.col("shift")).alias("to")),
+    )
+    hit = hit.select(F.col("of").alias("anchor"), F.col("its").alias("content"), spans.alias("runs")).filter("runs IS NOT NULL")
+    found = written(hit.groupBy("anchor", "content").agg(F.flatten(F.collect_list("runs")).alias("runs")), "runs")
+    dropped(parts, told)
+    return runs.unionByName(found)
 
 
 def repeated_spans(docs: DataFrame, length: int, k: int, earlier_only: bool, hot: int) -> DataFrame:
@@ -284,12 +340,8 @@ def repeated_spans(docs: DataFrame, length: int, k: int, earlier_only: bool, hot
     wanted = join_salted(kinds, mixed, ["anchor"], "kinds", kinds.count(), ["content"])
     wanted = wanted.select("anchor", "content", "n", (F.col("kinds") > hot).alias("hot"), "least.*")
     bodies = written(_bodies(wanted, docs, length), "bodies")
-    plain = bodies.filter("NOT hot").repartition("anchor").sortWithinPartitions("anchor")
-    runs = plain.mapInArrow(
-        _sorted_groups(length, earlier_only), "anchor long, content long, runs array<struct<from:bigint,to:bigint>>"
-    )
-    if not mixed.filter(F.col("kinds") > hot).isEmpty():
-        runs = runs.unionByName(_counted_windows(bodies.filter("hot").dropDuplicates(["anchor", "content"]), length, earlier_only))
+    distances = {"at": F.lit(-1).cast("long"), "lo": F.lit(0).cast("long"), "hi": F.lit(length - k).cast("long")}
+    runs = _group_runs(bodies.withColumns(distances), length, k, earlier_only, hot)
     told = kinds.join(runs.hint("shuffle_hash"), ["anchor", "content"], "left").filter("n > 1 OR runs IS NOT NULL")
     told = written(told.select("anchor", "content", "n", "least", "runs"), "told")
     dropped(kinds, mixed, bodies)

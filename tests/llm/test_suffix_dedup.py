@@ -47,9 +47,18 @@ def test_equals_brute_force(spark):
         check(spark, corpus(seed) + [(None, "null id " * 8)], keep_first)
 
 
-def test_hot_anchors_are_counted_by_window(spark):
+def test_hot_anchors_are_split_by_longer_texts(spark):
+    for keep_first, hot in ((False, 2), (True, 2), (True, 1)):
+        check(spark, corpus(3), keep_first, hot=hot)
+
+
+def test_one_anchor_in_most_rows(spark):
+    rng = random.Random(8)
+    letter = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    near = [letter(9) for _ in range(3)]
+    rows = [(i, letter(12) + rng.choice(near) + "aaaaaa" + rng.choice(near) + letter(12)) for i in range(60)]
     for keep_first in (False, True):
-        check(spark, corpus(3), keep_first, hot=2)
+        check(spark, rows + [(200, "aaaaaa"), (None, rows[0][1])], keep_first, hot=3)
 
 
 def test_hot_keys_are_salted(spark, monkeypatch):
