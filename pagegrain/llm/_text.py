@@ -11,7 +11,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Word separators of the contracts, as a regular-expression class body.
@@ -70,11 +70,18 @@ HOT_SHARE = 1000
 HOT_LEAST = 10_000
 
 
-def join_salted(left: DataFrame, right: DataFrame, keys: list[str], count: str, rows: int, spread: list[str]) -> DataFrame:
-    """Inner join; ``right`` has a row for each key and says in ``count`` how many of ``left``'s ``rows`` rows have it.
+#: Salts of rows that are known to meet nothing in a join.
+FREE_SALTS = 1024
+
+
+def join_salted(
+    left: DataFrame, right: DataFrame, keys: list[str], count: str, rows: int, spread: list, how: str = "inner", free: Column | None = None
+) -> DataFrame:
+    """Join; ``right`` has a row for each key and says in ``count`` how many of ``left``'s ``rows`` rows have it.
 
     A hot key's rows are dealt by a hash of ``spread`` to as many salts as it
-    fills shares.  Only the hot keys, ``HOT_SHARE`` at most, and the most
+    fills shares.  In a left join, rows for which ``free`` holds surely meet
+    nothing and are dealt freely, whatever their key.  Only the hot keys, ``HOT_SHARE`` at most, and the most
     frequent of the others, so that plans are alike with and without hot ones,
     are broadcast.
     """
@@ -83,9 +90,12 @@ def join_salted(left: DataFrame, right: DataFrame, keys: list[str], count: str,
     hot = right.filter(F.col(count) > share).select(*keys, F.expr(salts).alias("__salts"))
     most = right.filter(F.col(count) <= share).agg(F.max_by(F.struct(*keys), count).alias("most")).select("most.*", F.lit(1).alias("__salts"))
     marked = left.join(F.broadcast(hot.unionByName(most)), keys, "left")
-    marked = marked.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.coalesce("__salts", F.lit(1))).cast("int")).drop("__salts")
+    of = F.coalesce("__salts", F.lit(1))
+    if free is not None:
+        of = F.when(free, F.lit(FREE_SALTS)).otherwise(of)
+    marked = marked.withColumn("__salt", F.pmod(F.xxhash64(*spread), of).cast("int")).drop("__salts")
     many = right.withColumn("__salt", F.explode(F.expr(f"sequence(0, {salts} - 1)")))
-    return marked.join(many.hint("shuffle_hash"), [*keys, "__salt"]).drop("__salt")
+    return marked.join(many.hint("shuffle_hash"), [*keys, "__salt"], how).drop("__salt")
 
 
 def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

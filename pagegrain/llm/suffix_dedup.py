@@ -180,7 +180,7 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _sorted_groups(length: int, earlier_only: bool):
-    """Partition function: rows (anchor, content, n, doc_id, digest, first, body), by anchor, to (anchor, content, runs)."""
+    """Partition function: rows (anchor, content, n, doc_id, digest, first, body), by anchor and content, to (anchor, content, runs)."""
 
     def laid_out(rows):
         bodies = [np.frombuffer(r["body"], np.uint8) for r in rows]
@@ -191,8 +191,7 @@ def _sorted_groups(length: int, earlier_only: bool):
         return np.concatenate(bodies), starts, body, counts
 
     def solve(rows: list[dict]):
-        # rows equal in id and text give the same run: they are one document
-        rows = sorted({(r["anchor"], r["content"]): r for r in rows}.values(), key=lambda r: (r["anchor"], r["doc_id"], r["digest"], r["first"]))
+        rows = sorted(rows, key=lambda r: (r["anchor"], r["doc_id"], r["digest"], r["first"]))
         data, starts, body, _ = laid_out(rows)
         hashes = RangeHash(data)(starts, starts + length)  # a window without an equal hash has no equal
         order = np.argsort(hashes)
@@ -215,6 +214,8 @@ def _sorted_groups(length: int, earlier_only: bool):
         held, size = [], 0
         for batch in batches:
             for row in batch.to_pylist():
+                if held and (row["anchor"], row["content"]) == (held[-1]["anchor"], held[-1]["content"]):
+                    continue  # rows equal in id and text give the same run: they are one document
                 if size >= SORT_BYTES and row["anchor"] != held[-1]["anchor"]:
                     yield solve(held)
                     held, size = [], 0
@@ -229,7 +230,8 @@ def _sorted_groups(length: int, earlier_only: bool):
 def _bodies(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     """Adds the text of each wanted run: rows (anchor, content, n, hot, doc_id, digest, first, body)."""
     spot = F.struct("anchor", "content", "n", "hot", "first", "last")
-    listed = wanted.groupBy("doc_id", "digest").agg(F.collect_list(spot).alias("spots"))
+    # a text has no more rows than any of its kinds of runs
+    listed = written(wanted.groupBy("doc_id", "digest").agg(F.collect_list(spot).alias("spots"), F.min("n").alias("rows")), "spots")
     names = ["anchor", "content", "n", "hot", "doc_id", "digest", "first", "body"]
     kinds = [pa.int64()] * 3 + [pa.bool_()] + [pa.int64()] * 3 + [pa.binary()]
 
@@ -246,7 +248,8 @@ def _bodies(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
             cols = list(zip(*rows)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
-    joined = docs.join(listed.hint("shuffle_hash"), ["doc_id", "digest"]).select("doc_id", "digest", "base", "text", "spots")
+    joined = join_salted(docs, listed, ["doc_id", "digest"], "rows", docs.count(), [F.monotonically_increasing_id()])
+    joined = joined.select("doc_id", "digest", "base", "text", "spots")
     schema = "anchor long, content long, n long, hot boolean, doc_id long, digest long, first long, body binary"
     return joined.mapInArrow(run, schema)
 
@@ -300,7 +303,7 @@ def _group_runs(bodies: DataFrame, length: int, k: int, earlier_only: bool, hot:
     windows of a group have one distance, that text is the window, and the
     group has one kind.
     """
-    plain = bodies.filter("NOT hot").repartition("anchor").sortWithinPartitions("anchor")
+    plain = bodies.filter("NOT hot").repartition("anchor").sortWithinPartitions("anchor", "content")
     runs = plain.mapInArrow(_sorted_groups(length, earlier_only), "anchor long, content long, runs array<struct<from:bigint,to:bigint>>")
     large = bodies.filter("hot")
     if large.isEmpty():
@@ -332,7 +335,10 @@ def _group_runs(bodies: DataFrame, length: int, k: int, earlier_only: bool, hot:
 
 
 def repeated_spans(docs: DataFrame, length: int, k: int, earlier_only: bool, hot: int) -> DataFrame:
-    """doc_id, digest, spans (start, stop; they may overlap) of all texts with repeated windows; written."""
+    """doc_id, digest, spans (start, stop; they may overlap or be none), rows of all texts with repeated runs or windows; written.
+
+    rows is the number of rows equal in id and text.
+    """
     found = written(anchors(docs, length, k), "anchors")
     where = F.struct("doc_id", "digest", "first", "last")
     kinds = written(found.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(where).alias("least")), "kinds")
@@ -353,8 +359,10 @@ def repeated_spans(docs: DataFrame, length: int, k: int, earlier_only: bool, hot
         F.when(whole, everything).otherwise(F.col("runs")),
         lambda r: F.struct((F.col("first") + r["from"]).alias("start"), (F.col("first") + r["to"] + length).alias("stop")),
     )
-    hit = hit.select("doc_id", "digest", spans.alias("spans")).filter("spans IS NOT NULL")
-    out = written(hit.groupBy("doc_id", "digest").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    hit = hit.select("doc_id", "digest", "first", F.coalesce(spans, F.array().cast("array<struct<start:bigint,stop:bigint>>")).alias("spans"))
+    rows = F.expr("CAST(count(*) div size(collect_set(first)) AS BIGINT)")
+    # sets: the runs of rows equal in id and text are told once, before they are shuffled
+    out = written(hit.groupBy("doc_id", "digest").agg(F.flatten(F.collect_set("spans")).alias("spans"), rows.alias("rows")), "spans")
     dropped(found, told)
     return out
 
@@ -372,7 +380,8 @@ def repeated_pieces(docs: DataFrame, spans: DataFrame, least: int) -> DataFrame:
             cols = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.binary()])], names=names)
 
-    joined = docs.join(spans.hint("shuffle_hash"), ["doc_id", "digest"]).select("doc_id", "digest", "text", "spans")
+    joined = join_salted(docs, spans, ["doc_id", "digest"], "rows", docs.count(), [F.monotonically_increasing_id()])
+    joined = joined.select("doc_id", "digest", "text", "spans")
     return joined.mapInArrow(run, "doc_id long, digest long, base long, text binary")
 
 
@@ -429,7 +438,8 @@ def remove_repeats(
         def covered(spans: pd.Series) -> pd.Series:
             return pd.Series([sum(b - a for a, b in merge_spans(row)) for row in spans], dtype="int64")
 
-        spans = found.select("doc_id", "digest", covered("spans").alias("noted")).join(spans, ["doc_id", "digest"], "left")
+        noted_spans = found.select("doc_id", "digest", "rows", covered("spans").alias("noted"))
+        spans = written(noted_spans.join(spans.drop("rows"), ["doc_id", "digest"], "left"), "noted")
         docs = docs.withColumn("none", F.lit(0).cast("long"))
     schema = (
         "doc_id long, digest long, n_bytes long, n_removed long, spans array<struct<start:bigint,stop:bigint>>, kept binary, n_noted long"
@@ -452,7 +462,8 @@ def remove_repeats(
             sizes = pa.array(np.diff(offsets))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), sizes, *cols, batch.column(4)], names=names)
 
-    joined = docs.join(spans.hint("shuffle_hash"), ["doc_id", "digest"], "left")
+    short = F.octet_length("text") < (length if noted is None else min(length, noted))
+    joined = join_salted(docs, spans, ["doc_id", "digest"], "rows", docs.count(), [F.monotonically_increasing_id()], "left", short)
     joined = joined.select("doc_id", "text", "digest", "spans", F.coalesce("noted", "none").alias("noted") if noted is not None else "noted")
     return joined.mapInArrow(run, schema).withColumn("doc_id", F.expr(f"nullif(doc_id, {NO_ID}L)"))
 
@@ -473,9 +484,9 @@ def cut_rows(
         F.lit(0).cast("long").alias("base"),
     )
     spans = repeated_spans(plain, length, k, True, hot)
-    spans = spans.select(F.col("doc_id").alias("__of"), F.col("digest").alias("__its"), F.col("spans").alias("__spans"))
-    joined = keyed.join(spans.hint("shuffle_hash"), (F.col("__id") == F.col("__of")) & (F.col("__digest") == F.col("__its")), "left")
-
+    spans = spans.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.col("spans").alias("__spans"), F.col("rows").alias("__rows"))
+    short = F.coalesce(F.octet_length(F.col(f"`{text_col}`").cast("string")), F.lit(0)) < length
+    joined = join_salted(keyed, spans, ["__id", "__digest"], "__rows", keyed.count(), [F.monotonically_increasing_id()], "left", short)
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:

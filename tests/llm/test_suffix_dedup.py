@@ -56,7 +56,7 @@ def test_one_anchor_in_most_rows(spark):
     rng = random.Random(8)
     letter = lambda n: "".join(rng.choice("abcd") for _ in range(n))
     near = [letter(9) for _ in range(3)]
-    rows = [(i, letter(12) + rng.choice(near) + "aaaaaa" + rng.choice(near) + letter(12)) for i in range(60)]
+    rows = [(i, letter(12) + rng.choice(near) + "aaaaaa" + rng.choice(near) + letter(12)) for i in range(24)]
     for keep_first in (False, True):
         check(spark, rows + [(200, "aaaaaa"), (None, rows[0][1])], keep_first, hot=3)
 
@@ -79,6 +79,20 @@ def test_rows_equal_in_id_and_text_are_one_document(spark):
         assert {(str(r.doc_id), r.n_removed, bytes(r.kept)) for r in got} == {(str(d), *want[str(d) + str(t)]) for d, t in rows}
 
 
+def test_most_rows_have_one_id_and_text(spark, monkeypatch):
+    monkeypatch.setattr(_text, "HOT_LEAST", 2)
+    rows = corpus(6)[:12]
+    for text in (rows[3][1], None):  # a text with repeats, and one that meets nothing
+        df = spark.createDataFrame([*rows, *[(None, text)] * 150], "doc_id long, text string")
+        for keep_first in (True, False):
+            raws, gone = brute([*rows, *[(None, text)] * (1 if keep_first else 150)], 24, keep_first)
+            want = [len(g) for g in gone] + ([len(gone[-1])] * 149 if keep_first else [])
+            got = remove_repeats(df, length=24, k=6, keep_first=keep_first)
+            assert sorted(r.n_removed for r in got.select("n_removed").collect()) == sorted(want)
+            cut = suffix_dedup.cut_rows(df, length=24, k=6) if keep_first else None
+            assert cut is None or cut.count() == 162
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert remove_repeats(df).count() == 0
