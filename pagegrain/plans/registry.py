@@ -364,13 +364,11 @@ def mapping_points(spark, d):
 
 @query
 def row_maps(spark, d):
-    """Of each row of a page the fractional source rows of its columns: their number, ends, and sum."""
+    """The fractional source row of every column of every row of a page, from control points."""
     rows = W.row_map(_points(spark, d), D.staff_sizes(spark, d))
-    total = F.aggregate("source", F.lit(0.0), lambda a, v: a + v)
-    return rows.select(
-        "page_id", "y", F.size("source").cast("long").alias("n"), _r(F.array_min("source")).alias("low"), _r(F.array_max("source")).alias("high"),
-        F.floor(total * 8 + 0.37).alias("eighths"),
-    )
+    cells = rows.select("page_id", "y", F.posexplode("source").alias("x", "v"))
+    # many values lie on a half of the fourth digit: they are rounded after the product, as SQL does, not by their decimal digits
+    return cells.select("page_id", "y", "x", (S.half_up(F.col("v") * 10000) / 10000).alias("v"))
 
 
 # images

@@ -104,6 +104,22 @@ def test_mapping_and_row_map(spark):
     assert [r.source for r in rows] == [[0.0], [2.5], [5.0], [4.5], [4.0]]
 
 
+def test_row_maps_have_every_column(spark):
+    points, told = {}, {}
+    for r in entry.queries()["mapping_points"](spark, SF).collect():
+        line = points.setdefault(r.page_id, {}).setdefault(r.target_row, {})
+        line[r.column] = max(line.get(r.column, -1), r.source_row)
+    for r in entry.queries()["row_maps"](spark, SF).collect():
+        told.setdefault(r.page_id, {})[r.y, r.x] = r.v
+    assert told.keys() == points.keys() and points
+    for page, lines in points.items():
+        rows = sorted(lines)
+        across = np.array([np.interp(range(720), *zip(*sorted(lines[k].items()))) for k in rows])
+        want = np.array([np.interp(range(280), rows, column) for column in across.T]).T
+        assert len(told[page]) == 280 * 720
+        assert np.abs(np.array([[told[page][y, x] for x in range(720)] for y in range(280)]) - want).max() < 5.001e-5
+
+
 def remapped(spark, plane, source):
     height, width = np.shape(plane)
     bands = spark.createDataFrame([("p", "v", y, list(map(float, r))) for y, r in enumerate(plane)], "page_id string, layer string, y long, data array<double>")
