@@ -366,7 +366,8 @@ def mapping_points(spark, d):
 def row_maps(spark, d):
     """The fractional source row of every column of every row of a page, from control points."""
     rows = W.row_map(_points(spark, d), D.staff_sizes(spark, d))
-    cells = rows.select("page_id", "y", F.posexplode("source").alias("x", "v"))
+    # outer: else Spark computes the values anew to filter out empty rows, of which there are none
+    cells = rows.select("page_id", "y", F.posexplode_outer("source").alias("x", "v"))
     # many values lie on a half of the fourth digit: they are rounded after the product, as SQL does, not by their decimal digits
     return cells.select("page_id", "y", "x", (S.half_up(F.col("v") * 10000) / 10000).alias("v"))
 
