@@ -33,3 +33,11 @@ def test_regions_of_pixels_stay_on_executors(spark):
     regions = dewarp.pixel_regions(pixels)
     assert not through_driver(regions)
     assert sorted(map(tuple, regions.collect())) == [("p", 0, 1, 1), ("p", 1, 1, 1), ("p", 3, 5, 2)]
+
+
+def test_bridged_boxes_stay_on_executors(page):
+    boxes, sizes, _ = page
+    groups = written(dewarp.grouped(boxes), "groups")
+    told = dewarp.bridge(boxes, groups, sizes)
+    assert not through_driver(told)
+    assert sorted(r["id"] for r in told.collect()) == [0, 1]
