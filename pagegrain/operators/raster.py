@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.shared import bounded_batches, by_merge
 
 #: Width of the strips that runs are looked for in; also the height from which a run is no line.
 SPLIT_UNIT = 11
@@ -21,11 +22,23 @@ def bands(pixels: DataFrame, sizes: DataFrame) -> DataFrame:
     """page_id, y, data of every row of pages (page_id, width, height), on where ``pixels`` (page_id, y, x) has a row."""
     rows = pixels.groupBy("page_id", "y").agg(F.array_sort(F.collect_set("x")).alias("xs"))
     every = sizes.select("page_id", "width", F.explode(F.sequence(F.lit(0).cast("long"), F.col("height") - 1)).alias("y"))
-    joined = spread(every.join(rows, ["page_id", "y"], "left"), "page_id", "y").withColumn("xs", F.coalesce("xs", F.expr("CAST(array() AS array<bigint>)")))
-    # the gaps before each pixel and after the last one, as runs of zeros
-    runs = F.expr("transform(xs, (x, i) -> concat(array_repeat(0, CAST(x - IF(i = 0, -1, xs[i - 1]) - 1 AS INT)), array(1)))")
-    rest = F.expr("array_repeat(0, CAST(width - 1 - IF(size(xs) = 0, -1, xs[size(xs) - 1]) AS INT))")
-    return joined.select("page_id", "y", F.concat(F.flatten(runs), rest).alias("data"))
+    joined = spread(by_merge(every, rows, ["page_id", "y"], "left"), "page_id", "y")
+    xs = F.coalesce(F.col("xs").cast("array<bigint>"), F.expr("CAST(array() AS array<bigint>)"))
+
+    def run(batches):
+        for batch in batches:
+            for part in (batch.slice(i, BATCH_ROWS) for i in range(0, batch.num_rows, BATCH_ROWS)):
+                width, xs = part.column(2).to_numpy(), part.column(3)
+                of = np.repeat(np.arange(part.num_rows), xs.value_lengths().to_numpy())
+                x, ends = xs.flatten().to_numpy(), np.concatenate([[0], np.cumsum(width)])
+                if (x < 0).any() or (x >= width[of]).any():
+                    raise ValueError("a pixel lies outside its page")
+                data = np.zeros(ends[-1], np.int32)
+                data[ends[of] + x] = 1
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(data))], names=["page_id", "y", "data"])
+
+    rows = joined.select(F.col("page_id").cast("string"), F.col("y").cast("long"), F.col("width").cast("long"), xs.alias("xs"))
+    return rows.mapInArrow(run, "page_id string, y long, data array<int>")
 
 
 def pixels(masks: DataFrame) -> DataFrame:
@@ -33,6 +46,9 @@ def pixels(masks: DataFrame) -> DataFrame:
     return masks.select("page_id", "y", F.posexplode("data").alias("x", "on")).filter("on > 0").select("page_id", "y", F.col("x").cast("long").alias("x"))
 
 
+#: Rows of pixels that a step of a worker makes or reads at a time.
+BATCH_ROWS = 1024
+
 #: Rows of a block, the most that a task's step sees of a page beside the rows around it.
 BLOCK_ROWS = 128
 
@@ -42,6 +58,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
     Rasters are few bytes and much work, so sizes in bytes must not join their partitions.
     """
+    bounded_batches(df.sparkSession)
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
@@ -116,13 +133,26 @@ def strip_grids(masks: DataFrame, unit: int = SPLIT_UNIT) -> DataFrame:
 
     A strip's row is on with more than unit // 2 pixels; ids go strip by strip, then down.
     """
-    strips = F.expr(
-        f"transform(sequence(0, (size(data) - 1) div {unit}), s -> named_struct('left', s * {unit}, 'right', least((s + 1) * {unit}, size(data)), "
-        f"'on', aggregate(slice(data, s * {unit} + 1, {unit}), 0, (a, v) -> a + v) > {unit // 2}))"
-    )
-    rows = masks.filter(F.size("data") > 0).select("page_id", "y", F.posexplode(strips).alias("strip", "s")).select("page_id", "y", "strip", "s.*")
+
+    def strips(batches):
+        for batch in batches:
+            for first in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(first, BATCH_ROWS)
+                widths = part.column(2).value_lengths().to_numpy()
+                cuts = [0, *(np.flatnonzero(np.diff(widths)) + 1).tolist(), len(widths)]
+                for a, b in zip(cuts, cuts[1:]):  # rows of pages of one width
+                    if not (width := int(widths[a])):
+                        continue
+                    data = part.column(2).slice(a, b - a).flatten().to_numpy().reshape(b - a, width)
+                    at, strip = np.nonzero(np.add.reduceat(data, np.arange(0, width, unit), axis=1) > unit // 2)
+                    left = strip * unit
+                    columns = [part.column(k).slice(a, b - a).take(pa.array(at)) for k in range(2)]
+                    columns += [pa.array(strip, pa.int32()), pa.array(left), pa.array(np.minimum(left + unit, width))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["page_id", "y", "strip", "left", "right"])
+
+    rows = masks.select(F.col("page_id").cast("string"), F.col("y").cast("long"), F.col("data").cast("array<int>"))
+    on = rows.mapInArrow(strips, "page_id string, y long, strip int, left long, right long")
     # rows that are on and follow each other share y - rank
-    on = rows.filter("on")
     run = F.col("y") - F.row_number().over(Window.partitionBy("page_id", "strip").orderBy("y"))
     runs = on.withColumn("run", run).groupBy("page_id", "strip", "run").agg(
         F.min("left").cast("long").alias("left"), F.min("y").alias("top"), F.max("right").cast("long").alias("right"), (F.max("y") + 1).alias("bottom")
@@ -140,7 +170,7 @@ def region_members(regions: DataFrame) -> DataFrame:
 def region_groups(members: DataFrame, grids: DataFrame) -> DataFrame:
     """page_id, id, grid_ids and a box from the grids with the lowest and the highest id; widest first, then by region."""
     ends = members.select("page_id", "region", "grid_ids", F.explode(F.array(F.array_min("grid_ids"), F.array_max("grid_ids"))).alias("id"))
-    boxed = ends.join(grids, ["page_id", "id"]).groupBy("page_id", "region").agg(
+    boxed = by_merge(ends, grids, ["page_id", "id"]).groupBy("page_id", "region").agg(
         F.first("grid_ids").alias("grid_ids"), F.min("left").alias("left"), F.min("top").alias("top"), F.max("right").alias("right"), F.max("bottom").alias("bottom")
     )
     order = Window.partitionBy("page_id").orderBy((F.col("right") - F.col("left")).desc(), "region")

@@ -41,3 +41,23 @@ def test_bridged_boxes_stay_on_executors(page):
     told = dewarp.bridge(boxes, groups, sizes)
     assert not through_driver(told)
     assert sorted(r["id"] for r in told.collect()) == [0, 1]
+
+
+def test_groups_stay_on_executors(page):
+    groups = dewarp.grouped(page[0])
+    assert not through_driver(groups)
+    assert [r["grid_ids"] for r in groups.collect()] == [[0, 1]]
+
+
+def test_strips_of_pages_of_several_widths(spark):
+    """Strips are cut in Python, a run of equally wide rows at a time."""
+    rows = [("a", 0, [1] * 11 + [0] * 3 + [1] * 3), ("a", 1, [1] * 11 + [1] * 6), ("b", 0, [0, 1, 1, 1, 1, 1, 1]), ("c", 0, [])]
+    grids = raster.strip_grids(spark.createDataFrame(rows, "page_id string, y long, data array<int>"))
+    assert sorted(map(tuple, grids.collect())) == [("a", 0, 0, 0, 11, 2), ("a", 1, 11, 1, 17, 2), ("b", 0, 0, 0, 7, 1)]
+
+
+def test_a_pixel_outside_its_page_raises(spark):
+    pixels = spark.createDataFrame([("p", 0, 4)], "page_id string, y long, x long")
+    sizes = spark.createDataFrame([("p", 4, 1)], "page_id string, width long, height long")
+    with pytest.raises(Exception, match="a pixel lies outside its page"):
+        raster.bands(pixels, sizes).collect()
