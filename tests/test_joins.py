@@ -61,3 +61,11 @@ def test_a_pixel_outside_its_page_raises(spark):
     sizes = spark.createDataFrame([("p", 4, 1)], "page_id string, width long, height long")
     with pytest.raises(Exception, match="a pixel lies outside its page"):
         raster.bands(pixels, sizes).collect()
+
+
+def test_geometry_stays_on_executors(page):
+    boxes, sizes, _ = page
+    groups = dewarp.grouped(boxes)
+    told = dewarp.page_geometry(boxes, groups, sizes)
+    assert not through_driver(told)
+    assert [tuple(r) for r in told.collect()] == [("p", 2, 1, True)]
