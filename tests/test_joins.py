@@ -69,3 +69,11 @@ def test_geometry_stays_on_executors(page):
     told = dewarp.page_geometry(boxes, groups, sizes)
     assert not through_driver(told)
     assert [tuple(r) for r in told.collect()] == [("p", 2, 1, True)]
+
+
+def test_control_points_stay_on_executors(page):
+    boxes, sizes, _ = page
+    regions = written(dewarp.box_regions(boxes), "regions")
+    points = raster.control_points(dewarp.region_columns(boxes, regions, sizes), sizes)
+    assert not through_driver(points)
+    assert points.filter("target_row = 5").count() == 3
