@@ -77,3 +77,10 @@ def test_control_points_stay_on_executors(page):
     points = raster.control_points(dewarp.region_columns(boxes, regions, sizes), sizes)
     assert not through_driver(points)
     assert points.filter("target_row = 5").count() == 3
+
+
+def test_row_maps_stay_on_executors(spark, page):
+    points = known(spark, "('p', 0, 0, 0), ('p', 5, 3, 6), ('p', 11, 0, 11)", "page_id string, target_row bigint, column bigint, source_row bigint")
+    rows = dewarp.row_map(points, page[1])
+    assert not through_driver(rows)
+    assert rows.filter("y = 5").first()["source"] == [6.0] * 22
