@@ -84,3 +84,24 @@ def test_row_maps_stay_on_executors(spark, page):
     rows = dewarp.row_map(points, page[1])
     assert not through_driver(rows)
     assert rows.filter("y = 5").first()["source"] == [6.0] * 22
+
+
+def _ink(channels):
+    return lambda: lambda pixels: np.eye(channels, dtype=np.float32)[(pixels[..., 0] > 0) * (channels - 2)]
+
+
+def test_scored_pages_stay_on_executors_and_tiles_are_scored_once(page):
+    _, sizes, bands = page
+    masks = tiles.score_pages(bands, sizes, {"staff_and_symbols": _ink(3), "symbol_detail": _ink(4)})
+    assert not through_driver(masks)
+    plan = masks._jdf.queryExecution().optimizedPlan().toString()
+    # for each model tiles are cut and merged, scored and classified: no second scoring that finds how far tiles reach
+    assert (plan.count("FlatMapGroupsInArrow"), plan.count("MapInArrow")) == (4, 4)
+    assert masks.filter("exists(staff, v -> v)").select("y").collect() == [(4,)]
+
+
+def test_a_page_without_bands_has_no_masks(spark, page):
+    _, sizes, bands = page
+    more = sizes.unionByName(known(spark, "('q', 22, 12)", "page_id string, width bigint, height bigint"))
+    masks = tiles.score_pages(bands, more, {"staff_and_symbols": _ink(3), "symbol_detail": _ink(4)})
+    assert [tuple(r) for r in masks.groupBy("page_id").count().collect()] == [("p", 12)]
