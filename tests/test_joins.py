@@ -105,3 +105,23 @@ def test_a_page_without_bands_has_no_masks(spark, page):
     more = sizes.unionByName(known(spark, "('q', 22, 12)", "page_id string, width bigint, height bigint"))
     masks = tiles.score_pages(bands, more, {"staff_and_symbols": _ink(3), "symbol_detail": _ink(4)})
     assert [tuple(r) for r in masks.groupBy("page_id").count().collect()] == [("p", 12)]
+
+
+def test_tiles_are_cut_on_executors_and_scored_a_few_at_a_time(spark, page):
+    _, sizes, bands = page
+    pages = sizes.selectExpr("*", "256L AS window", "'staff_and_symbols' AS model")
+    cut = tiles.cut_tiles(bands, pages)
+    assert not through_driver(cut)
+
+    def make():
+        def run(pixels):
+            if len(pixels) > tiles.SCORED_TILES:
+                raise ValueError("too many tiles at a time")
+            return np.zeros((*pixels.shape[:3], 3), np.float32)
+
+        return run
+
+    many = written(cut.withColumn("tile_seq", F.explode(F.sequence(F.lit(0), F.lit(19)))).coalesce(1), "tiles")
+    assert tiles.score_tiles(many, make, 3).count() == 80
+    good, _ = recognition.score_runs(bands, sizes, "staff_and_symbols", make)
+    assert good.count() == 4
