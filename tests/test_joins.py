@@ -125,3 +125,14 @@ def test_tiles_are_cut_on_executors_and_scored_a_few_at_a_time(spark, page):
     assert tiles.score_tiles(many, make, 3).count() == 80
     good, _ = recognition.score_runs(bands, sizes, "staff_and_symbols", make)
     assert good.count() == 4
+
+
+def test_remapped_rows_stay_on_executors(page):
+    _, sizes, bands = page
+    layers = bands.selectExpr("page_id", "'staff' AS layer", "y", "data")
+    rows = written(sizes.selectExpr("page_id", "explode(sequence(0L, height - 1)) AS y").selectExpr("page_id", "y", "array_repeat(CAST(y + 1 AS DOUBLE), 22) AS source"), "rows")
+    out = dewarp.remap_bands(layers, rows, sizes)
+    assert not through_driver(out)
+    assert out.filter("exists(data, v -> v > 0)").select("y").collect() == [(3,)]
+    level = dewarp.straighten(layers, sizes)
+    assert level.filter("NOT was_dewarped").isEmpty() and level.count() == 12
