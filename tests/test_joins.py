@@ -136,3 +136,10 @@ def test_remapped_rows_stay_on_executors(page):
     assert out.filter("exists(data, v -> v > 0)").select("y").collect() == [(3,)]
     level = dewarp.straighten(layers, sizes)
     assert level.filter("NOT was_dewarped").isEmpty() and level.count() == 12
+
+
+def test_resized_rows_stay_on_executors(page):
+    _, sizes, bands = page
+    out = dewarp.resize_bands(bands, sizes.selectExpr("*", "11L AS new_width", "6L AS new_height", "1 AS depth"))
+    assert not through_driver(out)
+    assert out.count() == 6 and out.filter("size(data) = 11").count() == 6
