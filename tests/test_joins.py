@@ -143,3 +143,9 @@ def test_resized_rows_stay_on_executors(page):
     out = dewarp.resize_bands(bands, sizes.selectExpr("*", "11L AS new_width", "6L AS new_height", "1 AS depth"))
     assert not through_driver(out)
     assert out.count() == 6 and out.filter("size(data) = 11").count() == 6
+
+
+def test_rows_of_images_stay_on_executors(spark):
+    folder = "/root/testdata/sf0.001"
+    assert not [x for x in through_driver(standins.images(spark, folder)) if "Join" in x]
+    assert not [x for x in through_driver(registry.image_planes(spark, folder)) if "Join" in x]
