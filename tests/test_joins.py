@@ -149,3 +149,17 @@ def test_rows_of_images_stay_on_executors(spark):
     folder = "/root/testdata/sf0.001"
     assert not [x for x in through_driver(standins.images(spark, folder)) if "Join" in x]
     assert not [x for x in through_driver(registry.image_planes(spark, folder)) if "Join" in x]
+
+
+def test_aligned_rows_and_planes_stay_on_executors(spark, page):
+    _, sizes, bands = page
+    grown = tiles.align_bands(bands, F.lit(24).cast("long"), F.lit(13).cast("long"))
+    assert not through_driver(grown)
+    assert grown.filter("size(data) = 24").count() == 13
+    depths = known(spark, "('p', 2)", "page_id string, depth int")
+    assert not through_driver(tiles.planes(bands, depths))
+
+
+def test_batches_to_workers_are_bounded(spark, page):
+    raster.spread(page[1], "page_id")
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(5 << 20)
